@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import simhash_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated(_table(spark, sf_dir, "documents"))
     return out.select(out.doc.alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -20,7 +24,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op7_substring_dedup,)
+    for f in (op5_simhash_dedup, op7_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
