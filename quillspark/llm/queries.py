@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup, substring_dedup
+from . import bpe, simhash_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), with_ids=False).withColumnRenamed("doc", "doc_id")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated(_table(spark, sf_dir, "documents"))
     return out.select(out.doc.alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -24,7 +28,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_simhash_dedup, op7_substring_dedup)
+    for f in (op5_simhash_dedup, op6_bpe, op7_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
