@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, simhash_dedup, substring_dedup
+from . import bpe, quality, simhash_dedup, substring_dedup, toxicity
+from .labelled import crc_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = crc_fold(F.col("doc_id"), 4, 2)
+    return toxicity.classify(docs, toxicity.train(docs, labels, ~held_out), held_out)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
@@ -26,9 +34,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(out.doc.alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = crc_fold(F.col("doc_id"), 3, 1)
+    return quality.classify(docs, quality.train(docs, labels, ~held_out), held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_simhash_dedup, op6_bpe, op7_substring_dedup)
+    for f in (op4_toxicity, op5_simhash_dedup, op6_bpe, op7_substring_dedup, op8_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {}
