@@ -5,8 +5,11 @@ probability from up to ``order - 1`` characters before it, from the word's start
 of an expression share its stem, which a model over whole words can't see.  Both are interpolated Kneser-Ney:
 raw counts at the highest order (and of shorter histories at a word's start), continuation counts below it, and
 at the bottom one distribution shared by both classes, from pooled counts, which smooths what either has rarely
-seen.  A document's statistic is the difference of the log-likelihoods per word; a logistic curve, fitted on a
-quarter of the sample that the counts leave out, and moved to the labels' class shares, makes it a score.
+seen.  Toxic documents are ordinary prose for the most part, so their likelihood takes each word from the toxic
+model with probability ``SHARE`` and from the ordinary model else; the ordinary likelihood takes it from that
+model alone.  A document's statistic is the difference of the two log-likelihoods per word.  A logistic curve,
+fitted on a quarter of the sample that the counts leave out, and moved to the labels' class shares, makes it a
+score.
 
 The sample is balanced and bounded: ``most`` documents of each label, repeated texts once.  The model is a table
 of the n-grams of that sample; its size is bounded by the sample, not by the corpus.
@@ -28,6 +31,7 @@ from .wordarrays import Words, slices, text_buffer
 
 ORDER = 4
 DISCOUNT = 0.75
+SHARE = 0.01
 _EDGE = 32
 _STRIP = np.zeros(256, dtype=bool)
 _STRIP[[ord(c) for c in ".,!?%&$#*|;:()\"'"]] = True
@@ -119,9 +123,9 @@ class Model:
         return np.add.reduceat(ratio, at[:-1] - np.arange(words))
 
     def statistics(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The mean ratio of a text's words, 0 without words."""
+        """The difference of log-likelihoods per word, 0 without words."""
         chars, at, inverse, first = distinct_words(data, offsets)
-        each = self.ratios(chars, at)
+        each = np.log1p(SHARE * np.expm1(np.minimum(self.ratios(chars, at), 50.0)))
         # summed anew for each text: equal texts get equal bits wherever they stand
         return np.array([each[inverse[a:b]].sum() / max(b - a, 1) for a, b in zip(first[:-1], first[1:])], dtype=np.float64)
 
