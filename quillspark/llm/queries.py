@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash_dedup, substring_dedup, toxicity
+from . import bpe, decontaminate, quality, simhash_dedup, substring_dedup, toxicity
 from .labelled import crc_fold
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = crc_fold(F.col("doc_id"), 4, 2)
@@ -42,7 +46,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_toxicity, op5_simhash_dedup, op6_bpe, op7_substring_dedup, op8_quality)
+    for f in (op3_decontamination, op4_toxicity, op5_simhash_dedup, op6_bpe, op7_substring_dedup, op8_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {}
