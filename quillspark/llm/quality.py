@@ -73,7 +73,7 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         yield np.flatnonzero(on).astype(np.int32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, alpha: float = 1.0, epochs: int = 12, seed: int = 0) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, alpha: float = 1.0, epochs: int = 12, tolerance: float = 1e-4, seed: int = 0) -> Model:
     """labels are 0 and 1.  Without one of the two, the score is the share of 1 (1/2 without rows) for every text."""
     n, positive = len(rows), int(labels.sum())
     if not n or positive in (0, n):
@@ -106,7 +106,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, alpha: float
                 bias += step
                 dual[i] = new
                 worst = max(worst, abs(step))
-        if worst < 1e-4:
+        if worst < tolerance:
             break
     weights = w * ratio
     margin = np.array([weights[rows[i]].sum() + bias for i in apart.tolist()])

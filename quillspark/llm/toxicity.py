@@ -183,7 +183,7 @@ def _gram_counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             labels = batch.column("label").to_numpy(zero_copy_only=False)
-            data, offsets = text_buffer(batch.column("text"))
+            data, offsets = text_buffer(batch.column("text"), True)
             chars, at, inverse, first = distinct_words(data, offsets)
             label = np.repeat(labels, np.diff(first))
             code, length = grams(chars, at, order)
@@ -238,7 +238,7 @@ def _statistic(shared):
     def statistic(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             parts = slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text", 1 << 20)
-            found = [shared.value.statistics(*text_buffer(p.column("text"))) for p in parts]
+            found = [shared.value.statistics(*text_buffer(p.column("text"), True)) for p in parts]
             yield pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
     return statistic
