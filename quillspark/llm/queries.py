@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, mpeg_audio, quality, simhash_dedup, substring_dedup, toxicity
+from . import bpe, chat_format, decontaminate, licenses, mpeg_audio, quality, simhash_dedup, substring_dedup, toxicity
 from .labelled import crc_fold
 
 
@@ -59,12 +59,17 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_mpeg_audio, op3_decontamination, op4_toxicity, op5_simhash_dedup, op6_bpe, op7_substring_dedup, op8_quality, op9_chat_format)
+    for f in (op2_mpeg_audio, op3_decontamination, op4_toxicity, op5_simhash_dedup, op6_bpe, op7_substring_dedup, op8_quality, op9_chat_format, op10_licenses)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_licenses": licenses.scan_sql(),
     "op9_chat_format": """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
