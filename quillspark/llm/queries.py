@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, licenses, mpeg_audio, quality, simhash_dedup, substring_dedup, toxicity
+from . import bpe, chat_format, decontaminate, licenses, lm_scoring, mpeg_audio, quality, simhash_dedup, substring_dedup, toxicity
 from .labelled import crc_fold
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy(_table(spark, sf_dir, "documents"))
+
+
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.digests(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_mpeg_audio, op3_decontamination, op4_toxicity, op5_simhash_dedup, op6_bpe, op7_substring_dedup, op8_quality, op9_chat_format, op10_licenses)
+    for f in (op1_lm_scoring, op2_mpeg_audio, op3_decontamination, op4_toxicity, op5_simhash_dedup, op6_bpe, op7_substring_dedup, op8_quality, op9_chat_format, op10_licenses)
 }
 
 ORACLE_SQL: dict[str, str] = {
