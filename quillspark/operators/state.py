@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def _micros(ts: str):
-    return F.unix_micros(ts)
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def debounce(log: DataFrame, key: str, ts: str, order: str, quiet_ms: int) -> DataFrame:
