@@ -5,6 +5,11 @@ It is compared to a template by Dice's coefficient, ``2 * shared / (n + m)``, sh
 A Dice of t or more needs ``m * t / (2 - t) <= n <= m * (2 - t) / t``, so a template is listed under every admissible
 number of words and candidates come from an equi-join on that number; the list is a constant of the template set
 (``MOST`` rows at most) and is broadcast.  Units of other sizes are never cut into bigrams.
+
+Before that, a necessary condition on whole documents: a Dice of t needs at least ``m * t / (2 - t)`` of a template's m
+bigrams, so if some of its words are in more bigrams than may be missing, a unit without all of those words can't
+match.  Such words (rare ones first) are found for each template, and a document that holds none of them as a
+substring, in lower case, is not normalised at all.
 """
 
 from __future__ import annotations
@@ -77,6 +82,23 @@ def bounds(m: int, least: float) -> range:
     return range(max(1, math.ceil(m * least / (2 - least) - 1e-9)), math.floor(m * (2 - least) / least + 1e-9) + 1)
 
 
+def key_words(least: float, templates: list[tuple[str, str, str]]) -> list[str]:
+    """Words of which any text with a matching unit holds one."""
+    chosen: list[str] = []
+    for _, _, text in templates:
+        grams = [g.split(" ") for g in bigrams_of(text)]
+        if not grams:
+            continue
+        spare = len(grams) - math.ceil(len(grams) * least / (2 - least) - 1e-9)  # bigrams that may be missing
+        # rare ones first: known keys, long words, words with digits
+        for w in sorted(set(words_of(text)), key=lambda w: (w not in chosen, len(w) < 7, not any(map(str.isdigit, w)), -len(w), w)):
+            if sum(any(x in chosen for x in g) for g in grams) > spare:
+                break
+            if w not in chosen:
+                chosen.append(w)
+    return chosen
+
+
 def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
@@ -107,11 +129,16 @@ def scan(docs: DataFrame, least: float = 0.8, templates: list[tuple[str, str, st
         literal, sizes = "SELECT 0 AS n, '' AS license, '' AS template, 0 AS m, array('') AS grams, array(0) AS counts WHERE false", [0]
     known = F.broadcast(spark.sql(literal))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    holds = F.lit(False)
+    for w in key_words(least, TEMPLATES if templates is None else templates):
+        holds = holds | F.contains(F.col("low"), F.lit(w))
     whole = F.array(F.col("text"))
     lines = F.split("text", "\n")
     paragraphs = F.split("text", "\n[ \t\r]*\n")
     several = F.when(F.size(paragraphs) > 1, F.concat(lines, paragraphs, whole)).when(F.size(lines) > 1, F.concat(lines, whole)).otherwise(whole)
-    units = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.posexplode(several).alias("unit", "raw"))
+    # Spark's lower() folds beyond ASCII too; it never loses an ASCII letter or digit, so no match is lost
+    likely = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.lower("text").alias("low")).filter(holds)
+    units = likely.select("doc_id", F.posexplode(several).alias("unit", "raw"))
     units = units.select("doc_id", "unit", normalise(F.col("raw")).alias("norm"))
     n = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit("")))  # words - 1
     units = units.withColumn("n", n).filter(F.col("n").between(min(sizes), max(sizes)))

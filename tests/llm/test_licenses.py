@@ -73,3 +73,13 @@ def test_edges(spark):
     assert L.scan(spark.createDataFrame([(1, "a b", "", 1)], SCHEMA), templates=[]).collect() == []
     with pytest.raises(ValueError):
         L.scan(empty, 0)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8, 1.0])
+def test_key_words_are_necessary(least):
+    keys = L.key_words(least, L.TEMPLATES)
+    for _, _, text in L.TEMPLATES:
+        grams = L.bigrams_of(text)
+        left = [g for g in grams if not set(g.split()) & set(keys)]
+        n = max(1, len(left))
+        assert 2 * len(left) / (len(grams) + n) < least
