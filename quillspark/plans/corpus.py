@@ -91,7 +91,7 @@ s AS (SELECT doc_id, {_BITS} AS u FROM p GROUP BY doc_id)
 
 
 def _hashes(spark, sf_dir):
-    return dedup.simhash(table(spark, sf_dir, "documents"), "doc_id", F.col("text").substr(1, 2000))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), dedup.simhash_of(F.col("text").substr(1, 2000)).alias("simhash"))
 
 
 @query(_SIMHASH + "SELECT doc_id, coalesce(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END, 0)::BIGINT AS simhash FROM documents LEFT JOIN s USING (doc_id)")

@@ -21,10 +21,14 @@ def requests_of(spark: SparkSession, ask: list[str]) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
-def candidates_of(spark: SparkSession, sf_dir: str, ask: list[str]) -> DataFrame:
-    """Every request against every page: the offline form of a source's hits, a stated query set against all rows."""
+def hits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a source's hits: pos, url, title, content."""
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), "url", "html")
-    hits = held(p, title=extract.page_title(F.col("html")), content=extract.main_text(F.col("html"))).drop("html")
+    return held(p, title=extract.page_title(F.col("html")), content=extract.main_text(F.col("html"))).drop("html")
+
+
+def asked_of_all(hits: DataFrame, ask: list[str]) -> DataFrame:
+    """Every hit for every request: a stated query set against all rows."""
     wanted = F.array(*(F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(q).alias("query")) for i, q in enumerate(ask)))
     return hits.select("*", F.inline(wanted))
 
@@ -55,11 +59,10 @@ def tfidf_points(found: DataFrame, asked: DataFrame) -> DataFrame:
     return tfidf.normalised(scored).select("query_id", "pos", "points")
 
 
-def search(candidates: DataFrame, asked: DataFrame, today: Column, user_city: Column, page: int = 1) -> DataFrame:
-    """Requests with their candidate pages to one page of ranked results of each request."""
-    kept = admitted(candidates)
+def search(candidates: DataFrame, points: DataFrame, today: Column, user_city: Column, page: int = 1) -> DataFrame:
+    """Nodes of each request (query_id, query) and their TF-IDF points to one page of ranked results of each request."""
     base = F.coalesce("points", F.lit(0.0)) + ranking.completeness_bonus(F.col("info"))
-    scored = nodes(kept, today).join(tfidf_points(kept, asked), ["query_id", "pos"], "left").withColumn("score", base).drop("info", "points")
+    scored = candidates.join(points, ["query_id", "pos"], "left").withColumn("score", base).drop("info", "points")
     unique = dedup.deduplicate(scored)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
     ask = F.col("query")
@@ -101,7 +104,10 @@ ASK = ["the of with", "und der die", "台北展覽", "rather long request about
 
 @query()
 def ranked_search(spark, sf_dir):
-    return search(candidates_of(spark, sf_dir, ASK), requests_of(spark, ASK), F.lit(TODAY).cast("date"), F.lit("台北"))
+    today, kept = F.lit(TODAY).cast("date"), admitted(hits_of(spark, sf_dir))
+    # facts are of a page, whoever asks
+    points = tfidf_points(asked_of_all(kept, ASK), requests_of(spark, ASK))
+    return search(asked_of_all(nodes(kept, today), ASK), points, today, F.lit("台北"))
 
 
 @query()
