@@ -32,14 +32,15 @@ def contains_any(c: Column, words: Iterable[str]) -> Column:
 
 def found_in(c: Column, words: Iterable[str]) -> Column:
     """The words that the text contains, in the list's order."""
-    return F.filter(words_literal(words), lambda w: F.contains(text_of(c), w))
+    t = text_of(c)
+    return F.filter(words_literal(words), lambda w: F.contains(t, w))
 
 
 def first_hit(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """The value of the first key that the text contains, else null."""
-    out = None
+    out, t = None, text_of(c)
     for key, value in pairs:
-        hit = F.contains(text_of(c), F.lit(key))
+        hit = F.contains(t, F.lit(key))
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
     return out
 
