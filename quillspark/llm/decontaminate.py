@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-A window of a document has as many words as a benchmark item; it matches the item if their fingerprints are within
+A window of a document has as many words as a benchmark item, or is the whole document if that has fewer; it matches the item if their fingerprints are within
 ``radius`` bits and the weighted Jaccard similarity of their shingles (five words; a shingle weighs as often as it
 occurs) is ``similarity`` or more.  Words are split at ASCII white space, A-Z lower-cased.
 
@@ -10,6 +10,8 @@ occurs) is ``similarity`` or more.  Words are split at ASCII white space, A-Z lo
   about one in 10^5.
 * Which windows: two windows of s shingles with similarity t share at least 2 s t / (1 + t) of them, repeats
   counted.  Windows of fewer places whose shingle is one of an item's can't match it and get no fingerprint.
+* A document of fewer words than an item, but five at least, is itself the window: with a and b shingles they must
+  share (a + b) t / (1 + t) of them.
 * Items of fewer than five words are one shingle and match where their words stand.  An item without words matches
   nothing.
 
@@ -125,36 +127,54 @@ class Items:
                 out.add((d, n, start))
         return out
 
+    def whole(self, grams: np.ndarray, good: np.ndarray, doc: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+        """(doc, words of the item) of all documents that are shorter than an item and have shingles enough of it."""
+        sizes, n = np.diff(first), max(1, len(self.ids))
+        short = sizes[doc[: len(grams)]] < self.size.max(initial=0)
+        at = np.flatnonzero(good & short & self.filter[(grams & np.uint64(_FILTER - 1)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.keys, grams[at], "left"), np.searchsorted(self.keys, grams[at], "right")
+        times = hi - lo
+        item = self.of[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        pair, places = np.unique(doc[np.repeat(at, times)] * n + item, return_counts=True)
+        d, item = pair // n, pair % n
+        own, other = sizes[d] - WIDTH + 1, self.size[item] - WIDTH + 1
+        need = np.ceil((own + other) * self.similarity / (1 + self.similarity) - 1e-9)
+        ok = (own < other) & (places >= need)
+        return sorted(set(zip(d[ok].tolist(), self.size[item[ok]].tolist())))
+
     def matches(self, texts: pa.Array) -> list[list[dict]]:
         """For each text: its best window for each item, the earliest of equals; by item."""
         w = words_of(texts, lower=True)
         h, doc = w.hashes(), w.doc_of_word()
         best: list[dict[int, tuple]] = [{} for _ in range(len(texts))]
 
-        def note(d: int, i: int, similarity: float, distance: int, start: int) -> None:
-            new = (-similarity, start, distance)
+        def note(d: int, i: int, similarity: float, distance: int, start: int, words: int) -> None:
+            new = (-similarity, start, distance, words)
             if i not in best[d] or new < best[d][i]:
                 best[d][i] = new
 
         if len(w) >= WIDTH:
             grams = rolled(h, WIDTH)
             good = doc[: len(grams)] == doc[WIDTH - 1 :]
-            for d, n, start in sorted(self.windows(grams, good, doc, w.first)):
-                own = grams[start : start + n - WIDTH + 1]
+            windows = [(d, n, start, n) for d, n, start in sorted(self.windows(grams, good, doc, w.first))]
+            windows += [(d, n, int(w.first[d]), int(w.first[d + 1] - w.first[d])) for d, n in self.whole(grams, good, doc, w.first)]
+            for d, n, start, words in windows:
+                own = grams[start : start + words - WIDTH + 1]
                 index, members = self.index[n]
                 for k, distance in index.near(simhash(own), self.radius):
-                    both = shared_weight(own, self.shingles[members[k]])
-                    s = both / (2 * len(own) - both)
+                    other = self.shingles[members[k]]
+                    both = shared_weight(own, other)
+                    s = both / (len(own) + len(other) - both)
                     if s >= self.similarity:
-                        note(d, members[k], s, distance, start - int(w.first[d]))
+                        note(d, members[k], s, distance, start - int(w.first[d]), words)
         for n, known in self.short.items():
             grams = rolled(h, n)
             keys = np.array(sorted(known), dtype=np.uint64)
             at = np.flatnonzero(np.isin(grams, keys) & (doc[: len(grams)] == doc[n - 1 :]))
             for p in at.tolist():
                 for i in known[int(grams[p])]:
-                    note(int(doc[p]), i, 1.0, 0, p - int(w.first[doc[p]]))
-        return [[{"item": self.ids[i], "similarity": -s, "hamming": distance, "start": start, "words": int(self.size[i])} for i, (s, start, distance) in sorted(own.items())] for own in best]
+                    note(int(doc[p]), i, 1.0, 0, p - int(w.first[doc[p]]), n)
+        return [[{"item": self.ids[i], "similarity": -s, "hamming": distance, "start": start, "words": words} for i, (s, start, distance, words) in sorted(own.items())] for own in best]
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, radius: int, similarity: float, block: int) -> Iterator[Items]:

@@ -76,3 +76,30 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f", 1, None)], DOCS)
     assert D.contamination(docs, bench).collect() == [] and D.contamination(some, bench).collect() == []
     assert D.clean(some, bench).count() == 1 and D.clean(docs, bench).count() == 0
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(n)), None) for i, n in enumerate((59, 40, 25, 12, 6))] + [(9, "rep " * 20, None)]
+    docs = [(0, " ".join(items[0][1].split()[:-1]), 1, None), (1, "w1 w2 w3", 1, None), (2, "rep " * 18, 1, None)]
+    for k in range(200):
+        words = items[k % 5][1].split()
+        cut = rng.randint(0, 12)
+        at = rng.randint(0, cut)
+        words = words[at : len(words) - cut + at]
+        if words and rng.random() < 0.3:
+            words[rng.randrange(len(words))] = "edit"
+        docs.append((10 + k, " ".join(words), 1, None))
+    want = brute(docs, items)
+    for d in docs:
+        w = d[1].split()
+        for i in items:
+            v = i[1].split()
+            if 5 <= len(w) < len(v) and (s := similarity(w, v)) >= 0.8:
+                want.add((d[0], i[0], round(s, 9), 0, len(w)))
+    df, bench = spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS)
+    for block in (4 << 20, 200):
+        got = {(r.doc_id, r.item_id, round(r.similarity, 9), r.start_word, r.n_words) for r in D.contamination(df, bench, block=block).collect()}
+        assert got == want and (0, 0, round(54 / 55, 9), 0, 58) in got
+    bad = {d for d, *_ in want}
+    assert {r.doc_id for r in D.clean(df, bench).collect()} == {d[0] for d in docs} - bad
