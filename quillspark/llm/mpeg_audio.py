@@ -205,6 +205,9 @@ def mux(payload: bytes) -> bytes:
         rest = payload[at:]
         k = next(i for i, room in enumerate(_ROOM) if room >= len(rest))
         frames.append(_STARTS[k] + rest + bytes(_ROOM[k] - len(rest)))
+    if b"".join(frames[-2:])[-128:-125] == b"TAG":  # would be read as an ID3v1 tag: end with a frame of filling
+        k = next(i for i, f in enumerate(_FIELDS) if f["length"] >= 128 + 4)
+        frames.append(_STARTS[k] + bytes(_ROOM[k]))
     sizes = np.cumsum([0, *map(len, frames)])
     total = 240 + int(sizes[-1])
     # the table frame: 80 kbit/s, 240 bytes; entry i is where i percent of the frames have passed, in 256ths

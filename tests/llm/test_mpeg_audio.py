@@ -91,3 +91,19 @@ def test_query_columns(spark):
     full = media.select("*", M.facts(F.col("media")).alias("f"), M.load(F.col("media")).alias("back")).collect()
     assert all(r.back.decode().rstrip(" ") == (r.text or "") and r.f.crc_bad == 0 and len(r.f.frame_offsets) == r.f.table_frames for r in full)
     assert M.digests(df.limit(0)).collect() == []
+
+
+def test_payload_with_tag_where_an_id3v1_tag_would_start():
+    for n in (192, 600, 937, 937 + 60, 937 + 128, 937 * 2):
+        end = len(M.mux(bytes(n)))
+        hit = 0
+        for at in range(max(0, n - 1100), n - 2):
+            payload = bytes(at) + b"TAG" + bytes(n - at - 3)
+            media = M.mux(payload)
+            p = M.parse(media)
+            hit += len(media) != end
+            assert M.demux(media) == payload and p["title_v1"] is None and p["lost_bytes"] == p["resyncs"] == 0
+            assert p["table"]["frames"] == len(p["frames"]) and p["table"]["bytes"] == len(media) - p["tag_bytes"]
+        assert hit <= 1
+    payload = bytes(937 - 128) + b"TAG" + bytes(125)
+    assert M.demux(M.mux(payload)) == payload
