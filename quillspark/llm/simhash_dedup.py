@@ -9,6 +9,8 @@ most, so they agree in one of the choices of groups - r runs; each fingerprint g
 and the range join is an equi-join on cells that loses nothing.  In a cell, the Manhattan bound over all segments
 is tested first, then the Hamming distance; a pair counts in one cell only.  Cells give a spanning forest of
 their links, never all pairs: what leaves a cell is linear in its members, and no link between classes is lost.
+Links are the same for any number of groups; ``grid`` takes the fewest that keep cells of random fingerprints small,
+from their count: 15 rows for each of some millions, 210 for each of some billions.
 
 * Only distinct fingerprints are joined: copies of one text are one member.
 * A cell of more than ``tile`` members is split in tiles, each pair of tiles a task of its own.
@@ -17,6 +19,7 @@ their links, never all pairs: what leaves a cell is linear in its members, and n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,6 +35,7 @@ from .wordarrays import mix, slices
 
 BITS, SEGMENT = 64, 2
 _ODD = np.uint64(0x5555555555555555)
+_CHOICES = 256  # the low byte of a cell's key is the number of its choice
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -78,6 +82,17 @@ def unary(x: np.ndarray) -> np.ndarray:
     return ((x | high) & _ODD) | ((x & high & _ODD) << np.uint64(1))
 
 
+def grid(count: int, radius: int, members: int = 32) -> int:
+    """The number of runs for ``count`` distinct fingerprints: the fewest with ``members`` in a random cell, 256 cells at most."""
+    groups = radius + 1
+    while math.comb(groups + 1, radius) <= _CHOICES:
+        agree = (groups - radius) / groups * BITS / SEGMENT
+        if count * 0.375**agree <= members:  # 3/8: two random segments have one bit count
+            break
+        groups += 1
+    return groups
+
+
 def masks(groups: int, radius: int) -> list[int]:
     """A bit mask for each choice of ``groups - radius`` of the runs of segments."""
     edges = [round(i * BITS / SEGMENT / groups) * SEGMENT for i in range(groups + 1)]
@@ -99,23 +114,23 @@ def _first_choice(differ: np.ndarray, groups: int, radius: int) -> np.ndarray:
 
 def _cells(groups: int, radius: int):
     choices = masks(groups, radius)
+    rows = max(1, (1 << 15) // len(choices))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fp), 2048):
-                part = fp[at : at + 2048]
+            for at in range(0, len(fp), rows):
+                part = fp[at : at + rows]
                 u = unary(part)
-                cell = np.concatenate([mix((u & np.uint64(m)) + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for i, m in enumerate(choices)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.view(np.int64)), pa.array(np.repeat(np.arange(len(choices), dtype=np.int16), len(part))), pa.array(np.tile(part, len(choices)).view(np.int64))],
-                    names=["cell", "choice", "fp"],
-                )
+                cell = np.empty(len(part) * len(choices), np.uint64)
+                for i, m in enumerate(choices):
+                    cell[i * len(part) : (i + 1) * len(part)] = mix((u & np.uint64(m)) + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & ~np.uint64(_CHOICES - 1) | np.uint64(i)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.tile(part, len(choices)).view(np.int64))], names=["cell", "fp"])
 
     return run
 
 
-def _forest(key: np.ndarray, choice: np.ndarray, fp: np.ndarray, radius: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(key: np.ndarray, fp: np.ndarray, radius: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside each key; rows are sorted by key."""
     choices = np.array(masks(groups, radius), dtype=np.uint64)
     f = fp.view(np.uint64)
@@ -131,7 +146,7 @@ def _forest(key: np.ndarray, choice: np.ndarray, fp: np.ndarray, radius: int, gr
         i, j, differ = i[ok], j[ok], differ[ok]
         ok = np.bitwise_count(f[i] ^ f[j]) <= radius  # Hamming
         i, j, differ = i[ok], j[ok], differ[ok]
-        ok = _first_choice(differ, groups, radius) == choices[choice[i]]
+        ok = _first_choice(differ, groups, radius) == choices[key[i] & (_CHOICES - 1)]
         i, j = i[ok], j[ok]
         if len(i):
             a.append(fp[i])
@@ -157,14 +172,13 @@ def _links(radius: int, groups: int, tile: int):
     Gives links (a, b), and the members of larger cells with the number of their tile.
     """
 
-    def found(key, choice, fp) -> pa.RecordBatch:
-        a, b = _forest(key, choice, fp, radius, groups)
-        none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.nulls(len(a), pa.int16()), pa.nulls(len(a), pa.int32()), pa.array(a), pa.array(b)], names=["cell", "choice", "part", "a", "b"])
+    def found(key, fp) -> pa.RecordBatch:
+        a, b = _forest(key, fp, radius, groups)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(a), pa.array(b)], names=["cell", "part", "a", "b"])
 
-    def late(key, choice, fp, seen: int) -> pa.RecordBatch:
+    def late(key, fp, seen: int) -> pa.RecordBatch:
         part = ((seen + np.arange(len(key))) // tile).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(choice), pa.array(part), pa.array(fp), pa.nulls(len(key), pa.int64())], names=["cell", "choice", "part", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(fp), pa.nulls(len(key), pa.int64())], names=["cell", "part", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -172,7 +186,7 @@ def _links(radius: int, groups: int, tile: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "choice", "fp")]
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "fp")]
             if over is not None:
                 cut = int(np.searchsorted(rows[0], over, side="right"))
                 if cut:
@@ -198,28 +212,33 @@ def _links(radius: int, groups: int, tile: int):
     return run
 
 
-_LINKS = "cell long, choice short, part int, a long, b long"
+_LINKS = "cell long, part int, a long, b long"
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, groups: int = 8, tile: int = 4096) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 4, groups: int | None = None, tile: int = 4096) -> DataFrame:
     """(a, b) of distinct fingerprints that connect all within ``radius``; ``fps`` has one long column fp."""
-    if not 0 <= radius < groups <= BITS // SEGMENT:
-        raise ValueError("radius < groups <= 32 is needed")
-    cells = fps.mapInArrow(_cells(groups, radius), "cell long, choice short, fp long")
+    count = fps.count()
+    groups = grid(count, radius) if groups is None else groups
+    if not 0 <= radius < groups <= BITS // SEGMENT or math.comb(groups, radius) > _CHOICES:
+        raise ValueError("radius < groups <= 32 and 256 cells at most are needed")
+    # spread first: a task expands some 2^18 rows, whatever the planner made of the small table
+    spread = fps.repartition(max(1, count * math.comb(groups, radius) >> 18), "fp")
+    cells = spread.mapInArrow(_cells(groups, radius), "cell long, fp long")
     out = materialise(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius, groups, tile), _LINKS), "cells")
     late = out.filter("cell IS NOT NULL")
     parts = late.groupBy("cell").agg(F.max("part").alias("top"))
     other = F.explode(F.sequence(F.lit(0), F.col("top"))).alias("other")
-    pairs = late.join(parts, "cell").select("cell", "choice", "part", F.col("a").alias("fp"), other)
-    # key of the pair of tiles; a pair holds the members of both
-    tiles = pairs.select(F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "choice", "fp")
+    pairs = late.join(parts, "cell").select("cell", "part", F.col("a").alias("fp"), other)
+    # key of the pair of tiles, with the cell's choice; a pair holds the members of both
+    key = F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")).bitwiseAND(F.lit(-_CHOICES).cast("long"))
+    tiles = pairs.select(key.bitwiseOR(F.col("cell").bitwiseAND(F.lit(_CHOICES - 1).cast("long"))).alias("cell"), "fp")
     rest = tiles.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius, groups, 1 << 40), _LINKS)
     return out.filter("cell IS NULL").select("a", "b").unionByName(rest.select("a", "b"))
 
 
-def classes(prints: DataFrame, radius: int = 4, groups: int = 8, tile: int = 4096) -> DataFrame:
+def classes(prints: DataFrame, radius: int = 4, groups: int | None = None, tile: int = 4096) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of ``prints`` (doc, fp); the least doc of the class."""
-    first = prints.groupBy("fp").agg(F.min("doc").alias("first"))
+    first = materialise(prints.groupBy("fp").agg(F.min("doc").alias("first")), "fingerprints")
     found = components(fingerprint_links(first.select("fp"), radius, groups, tile))
     members = found.join(first, found.node == first.fp).select("fp", "root", "first")
     least = members.groupBy("root").agg(F.min("first").alias("least"))
@@ -227,7 +246,7 @@ def classes(prints: DataFrame, radius: int = 4, groups: int = 8, tile: int = 409
     return first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, groups: int = 8, tile: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, groups: int | None = None, tile: int = 4096) -> DataFrame:
     """(doc, fingerprint hex, component_id) for every row of ``docs``.
 
     Null, empty and blank texts have fingerprint zero and link like any other.  Null ids are passed over in
@@ -238,14 +257,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, groups: int = 8, tile: int = 4096) -> DataFrame:
-    """``docs`` with one row of each class: the least id (nulls last), then the least hash of the row."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, groups: int | None = None, tile: int = 4096) -> DataFrame:
+    """``docs`` with one row of each class: the least id (nulls last), then the least hash of id and text.
+
+    Of rows that agree in id and text, the one with the least hash of all its columns stays; columns of any name do.
+    """
     prints = materialise(fingerprints(docs, id_col, text_col, width), "prints")
     tagged = prints.join(classes(prints.select("doc", "fp"), radius, groups, tile).withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"))
     # a class is known by its least id; classes without one by their fingerprint
     rank = F.struct(F.col("doc").isNull().alias("n"), "doc", "k1", "k2")
     best = tagged.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(rank).alias("w"))
-    won = best.select(F.col("w.k1").alias("__k1"), F.col("w.k2").alias("__k2")).distinct()
-    keyed = docs.withColumn("__k1", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
-    keyed = keyed.withColumn("__k2", F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).cast("long"), F.lit(1)))
-    return keyed.join(won, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
+    won = best.select(F.col("w.k1").alias("k1"), F.col("w.k2").alias("k2")).distinct()
+    keyed = docs.select(
+        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("k1"), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).cast("long"), F.lit(1)).alias("k2"), F.struct("*").alias("row"),
+    )
+    kept = keyed.join(won, ["k1", "k2"], "left_semi")
+    said = F.to_json("row")
+    return kept.groupBy("k1", "k2").agg(F.min_by("row", F.struct(F.xxhash64(said), F.xxhash64(F.lit(1), said))).alias("row")).select("row.*")

@@ -65,7 +65,7 @@ def test_equals_brute_force(spark, tile):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
-@pytest.mark.parametrize("groups,tile", [(8, 4096), (5, 7), (6, 1)])
+@pytest.mark.parametrize("groups,tile", [(None, 4096), (8, 4096), (5, 7), (6, 1)])
 def test_links_connect_all_within_the_radius(spark, groups, tile):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -110,3 +110,16 @@ def test_components_of_chains_and_stars(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     want = {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)} | {299: 299, 300: 299}
     assert got == want
+
+
+def test_grid_grows_with_the_fingerprints():
+    sizes = [S.grid(n, 4) for n in (0, 1000, 250_000, 15_000_000, 10**9, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == 5 and sizes[2] == 6 and max(sizes) <= 10
+
+
+def test_keep_one_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a b c d e", "x", 1), (1, "a b c d e", "y", 2), (2, "a b c d e", "z", 3), (3, None, "n", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 string, `__k2` int")
+    first = sorted(map(tuple, S.keep_one(df).collect()))
+    assert [r[0] for r in first] == [1, 3] and first[0] in rows
+    assert sorted(map(tuple, S.keep_one(df.repartition(3)).collect())) == first
