@@ -1,4 +1,4 @@
-"""Words of many texts as numpy arrays: split, hash and roll without a Python object per word.
+"""Words of many texts as numpy arrays: split, hash and join without a Python object per word.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, the ASCII white space; a text never
 shares a word with its neighbour.  A null text has no words.
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -18,9 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_WORD_BASE = np.uint64(0xD1342543DE82EF95 | 1)
 _BYTE_INVERSE = np.uint64(pow(int(_BYTE_BASE), -1, 1 << 64))
-_WORD_INVERSE = np.uint64(pow(int(_WORD_BASE), -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -71,25 +70,53 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word's bytes."""
-        n = len(self.data)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(_BYTE_BASE, n), out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * _powers(_BYTE_INVERSE, n + 1)[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        """A 64-bit hash of every word's bytes: eight at a time through ``mix``, XXH64 for words of over 512 bytes.
+
+        No sum or product of the bytes, so words that repeat a pattern in another order don't collide.
+        """
+        size = self.ends - self.starts
+        h = size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        padded = np.append(self.data, np.zeros(8, np.uint8))
+        lanes = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        long = np.flatnonzero(size > 512)
+        at, todo = 0, np.flatnonzero(size <= 512)
+        while len(todo):
+            lane, left = lanes[self.starts[todo] + at], size[todo] - at
+            short = left < 8
+            lane[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+            h[todo] = mix((h[todo] ^ lane) + np.uint64(0x9E3779B97F4A7C15))
+            at += 8
+            todo = todo[left > 8]
+        for i in long.tolist():
+            h[i] = xxhash.xxh64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes(), 7)
+        return h
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of what a stands for followed by what b stands for."""
+    return mix(a * np.uint64(0xD1342543DE82EF95) + (b ^ (b >> np.uint64(31))) + np.uint64(0x2545F4914F6CDD1D))
+
+
 def rolled(word_hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of every k consecutive words; n - k + 1 of them, those across texts included."""
+    """Hashes of every k consecutive words; n - k + 1 of them, those across texts included.
+
+    Runs of 1, 2, 4, ... words are joined in pairs, and k is put together of them, so every join goes through ``mix``.
+    """
     n = len(word_hashes)
-    if n < k:
+    if n < k or k < 1:
         return np.zeros(0, dtype=np.uint64)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(word_hashes * _powers(_WORD_BASE, n), out=total[1:])
-    return mix((total[k:] - total[: n - k + 1]) * _powers(_WORD_INVERSE, n)[: n - k + 1])
+    out, have, power, run = None, 0, 1, word_hashes
+    while True:
+        if k & power:
+            out = run if out is None else joined(run[: n - have - power + 1], out[power:])
+            have += power
+        if have == k:
+            return mix(out)
+        run = joined(run[:-power], run[power:])
+        power *= 2
 
 
 def text_buffer(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

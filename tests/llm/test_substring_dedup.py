@@ -49,3 +49,17 @@ def test_empty_table_and_bad_parameters(spark):
     assert remove_repeated(empty).collect() == []
     with pytest.raises(ValueError):
         remove_repeated(empty, k=3, m=4)
+
+
+def test_words_that_differ_only_in_the_order_of_a_pattern(spark):
+    """Thue-Morse words collide under every polynomial hash modulo a power of two."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for n in (8, 64, 512, 1024):
+        rows = [(1, " ".join(["same"] * 34 + [a[:n]]), "", 1), (2, " ".join(["same"] * 34 + [b[:n]]), "", 1)]
+        assert [r.n_removed for r in remove_repeated(spark.createDataFrame(rows, SCHEMA)).collect()] == [0, 0]
+    rows = [(1, " ".join(a[:64]), "", 1), (2, " ".join(b[:64]), "", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, remove_repeated(df, k=64, m=8).collect()), key=str) == brute(rows, 64)
