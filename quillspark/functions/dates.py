@@ -33,25 +33,29 @@ def make_date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
 
 
-def _all(t: Column, pattern: str, *groups: int) -> list[Column]:
-    return [F.regexp_extract_all(t, F.lit(pattern), F.lit(g)) for g in groups]
+def _all(t: Column, pattern: str) -> Column:
+    """All matches of a pattern: one scan of the text; groups are read from the short matches."""
+    return F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
 
 
-def _dates(ys: Column, ms: Column, ds: Column, offset: int = 0) -> Column:
-    made = F.transform(F.arrays_zip(ys.alias("y"), ms.alias("m"), ds.alias("d")), lambda z: make_date(z["y"].cast("int") + offset, z["m"], z["d"]))
-    return F.filter(made, lambda d: d.isNotNull())
+def _dates(matches: Column, pattern: str, made) -> Column:
+    """``made`` of the groups (a function of the number) of each match, without nulls."""
+    return F.filter(F.transform(matches, lambda m: made(lambda g: F.regexp_extract(m, pattern, g))), lambda d: d.isNotNull())
+
+
+def _ymd(group) -> Column:
+    return make_date(group(1), group(2), group(3))
 
 
 def full_dates(text: Column) -> Column:
     """All dates with a year of 2020 to 2099."""
-    return _dates(*_all(text_of(text), FULL, 1, 2, 3))
+    return _dates(_all(text_of(text), FULL), FULL, _ymd)
 
 
 def roc_dates(text: Column) -> Column:
     """Dates of the ROC calendar; a year alone stands for its last day."""
-    y, m, d = _all(text_of(text), ROC_FULL, 1, 2, 3)
-    full = lambda a, other: F.transform(a, lambda x: F.when(x == "", other).otherwise(x))
-    return _dates(y, full(m, "12"), full(d, "31"), 1911)
+    full = lambda x, other: F.coalesce(_some(x), F.lit(other))
+    return _dates(_all(text_of(text), ROC_FULL), ROC_FULL, lambda g: make_date(g(1).cast("int") + 1911, full(g(2), "12"), full(g(3), "31")))
 
 
 def context_year(text: Column) -> Column:
@@ -62,9 +66,7 @@ def bare_dates(text: Column, today: Column) -> Column:
     """Month and day without a year, in the year of an event named, else the context's, else the current one."""
     t = text_of(text)
     year = F.coalesce(_some(F.regexp_extract(t, YEAR_EVENT, 1)).cast("int"), context_year(t), F.year(today))
-    m, d = _all(t, BARE, 1, 2)
-    made = F.transform(F.arrays_zip(m.alias("m"), d.alias("d")), lambda z: make_date(year, z["m"], z["d"]))
-    return F.filter(made, lambda x: x.isNotNull())
+    return _dates(_all(t, BARE), BARE, lambda g: make_date(year, g(1), g(2)))
 
 
 def weekday_date(text: Column, today: Column) -> Column:
@@ -94,44 +96,50 @@ def relative_date(text: Column, today: Column) -> Column:
 
 
 def parse_date(text: Column, today: Column) -> Column:
-    """One date for a text, by the cascade: ROC year of an event, relative words, explicit dates, hints; or null."""
+    """One date for a text, by the cascade: ROC year of an event, relative words, the day of an old post, explicit dates, hints; or null."""
     t = text_of(text)
     context = context_year(t)
     roc_year = _some(F.regexp_extract(t, ROC_EVENT, 1)).cast("int")
     roc = F.when(roc_year < F.year(today) - 1911 - 1, make_date(roc_year + 1911, F.lit(12), F.lit(31)))
-    year_then = _dates(*_all(t, _YEAR_THEN, 1, 2, 3))
+    year_then = _dates(_all(t, _YEAR_THEN), _YEAR_THEN, _ymd)
     posted_year = _some(F.regexp_extract(t, _POSTED, 1)).cast("int")
-    posted = make_date(posted_year, F.regexp_extract(t, _POSTED, 2), F.regexp_extract(t, _POSTED, 3))
-    posted = F.filter(F.array(F.when(posted_year < F.year(today) - 1, posted)), lambda d: d.isNotNull())
-    dated = F.concat(roc_dates(t), full_dates(t), year_then, posted)
+    posted = F.when(posted_year < F.year(today) - 1, make_date(posted_year, F.regexp_extract(t, _POSTED, 2), F.regexp_extract(t, _POSTED, 3)))
+    dated = F.concat(roc_dates(t), full_dates(t), year_then)
     dated = F.when(F.size(dated) > 0, dated).otherwise(bare_dates(t, today))
     years = F.transform(F.regexp_extract_all(t, F.lit(f"(?<![0-9]){YEAR}(?![0-9])"), F.lit(1)), lambda y: y.cast("int"))
     rescue = F.array_max(F.filter(years, lambda y: y > F.year(today)))
     hint = F.when(t.rlike("即日起|常設展|長期展出"), F.date_add(today, 30)).when(context < F.year(today), make_date(context, F.lit(12), F.lit(31)))
     chosen = F.coalesce(F.array_min(F.filter(dated, lambda d: d >= today)), make_date(rescue, F.lit(1), F.lit(1)), F.array_max(dated))
-    return F.coalesce(roc, relative_date(t, today), F.when(F.size(dated) > 0, chosen).otherwise(hint))
+    return F.coalesce(roc, relative_date(t, today), posted, F.when(F.size(dated) > 0, chosen).otherwise(hint))
 
 
-_SEP = "[-/.]"
-_N = "([0-9]{1,2})"
-_SMART = [  # (pattern, group of year or 0, month, day)
-    (f"([0-9]{{4}}){_SEP}{_N}{_SEP}{_N}", 1, 2, 3),
-    (f"([0-9]{{2,3}})年{_N}月{_N}日?", 1, 2, 3),
-    (f"([0-9]{{4}})年{_N}月{_N}日", 1, 2, 3),
-    (f"{_N}月{_N}日", 0, 1, 2),
-]
+_N, _TO = "([0-9]{1,2})", r"\s*[~至到-]\s*"
+_NUMERIC, _ROC_DAY = f"([0-9]{{4}})[/.-]{_N}[/.-]{_N}", f"([0-9]{{2,3}})年{_N}月{_N}日?"
+#: Of a range only the start is read; the day alone is read once more by the forms of a single day.
+_SMART = [
+    rf"{_NUMERIC}{_TO}[0-9]{{4}}[/.-][0-9]{{1,2}}[/.-][0-9]{{1,2}}", rf"{_NUMERIC}{_TO}[0-9]{{1,2}}[/.-][0-9]{{1,2}}", rf"{_ROC_DAY}{_TO}[0-9]{{2,3}}年[0-9]{{1,2}}月[0-9]{{1,2}}日?",
+    rf"{_ROC_DAY}{_TO}[0-9]{{1,2}}月[0-9]{{1,2}}日?", _ROC_DAY, _NUMERIC, f"([0-9]{{4}})年{_N}月{_N}日",
+]
+_SMART_BARE = f"{_N}月{_N}日"
 
 
 def smart_dates(text: Column, today: Column) -> Column:
-    """struct<start, end> from all date forms: years under 200 are ROC; a year before today's is ignored."""
+    """struct<start, end> from all date forms: years under 200 are ROC; a day over a year ago is ignored.
+
+    A day without a year is of this one, or of the next in November and December if it is in January or February.
+    The end is the latest of two future matches or more; a range counts its start twice.
+    """
     t = text_of(text)
-    parts = []
-    for pattern, y, m, d in _SMART:
-        ms, ds = _all(t, pattern, m, d)
-        ys = _all(t, pattern, y)[0] if y else F.transform(ms, lambda _: F.year(today).cast("string"))
-        ys = F.transform(ys, lambda v: F.when(v.cast("int") < 200, v.cast("int") + 1911).otherwise(v.cast("int")))
-        parts.append(_dates(ys, ms, ds))
-    near = F.filter(F.concat(*parts), lambda x: x >= F.date_sub(today, 365))
+
+    def own(g):
+        y = g(1).cast("int")
+        return make_date(F.when(y < 200, y + 1911).otherwise(y), g(2), g(3))
+
+    def bare(g):
+        return make_date(F.year(today) + F.when((F.month(today) >= 11) & (g(1).cast("int") <= 2), 1).otherwise(0), g(1), g(2))
+
+    found = F.concat(*(_dates(_all(t, p), p, own) for p in _SMART), _dates(_all(t, _SMART_BARE), _SMART_BARE, bare))
+    near = F.filter(found, lambda x: x >= F.date_sub(today, 365))
     future = F.filter(near, lambda x: x >= today)
     start = F.coalesce(F.array_min(future), F.array_max(near))
     return F.struct(start.alias("start"), F.when(F.size(future) >= 2, F.array_max(future)).alias("end"))

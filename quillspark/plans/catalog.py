@@ -49,13 +49,22 @@ def _pick(index: str, items: list[str]) -> str:
 LISTING = f"""
 SELECT listing_id, city_txt, type_txt, date_txt, city_txt || type_txt || ' ' || date_txt AS title, body_txt, score, day FROM (
   SELECT o_orderkey AS listing_id, {_pick("c_nationkey % 10", _CITIES)} AS city_txt, {_pick("CAST(o_orderkey % 13 AS INT)", _KINDS)} AS type_txt, day, o_totalprice / 1000 AS score,
-    CASE CAST(o_orderkey % 7 AS INT)
+    CASE CAST(o_orderkey % 17 AS INT)
       WHEN 0 THEN y || '/' || lpad(m, 2, '0') || '/' || lpad(d, 2, '0')
       WHEN 1 THEN y || '年' || m || '月' || d || '日'
       WHEN 2 THEN CAST(year(day) - 1911 AS STRING) || '年' || m || '月' || d || '日'
       WHEN 3 THEN m || '月' || d || '日'
       WHEN 4 THEN y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') || ' ~ ' || y || '-12-' || lpad(d, 2, '0')
       WHEN 5 THEN CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN '今天' WHEN 1 THEN '下週三' WHEN 2 THEN '這週末' WHEN 3 THEN '星期日' ELSE '常設展' END
+      WHEN 7 THEN '發佈：2019/03/05 展出 ' || y || '/' || lpad(m, 2, '0') || '/' || lpad(d, 2, '0')
+      WHEN 8 THEN y || '台北花伴野餐' || m || '月' || d || '日'
+      WHEN 9 THEN CASE CAST(o_orderkey % 2 AS INT) WHEN 0 THEN '110年度市集' ELSE '113年活動' END
+      WHEN 10 THEN y || '/' || lpad(m, 2, '0') || '/' || lpad(d, 2, '0') || '~' || m || '/' || d
+      WHEN 11 THEN '2031 回顧 2020-01-05'
+      WHEN 12 THEN '2021 聖誕市集'
+      WHEN 13 THEN CAST(year(day) - 1911 AS STRING) || '年' || m || '月' || d || '日~12月' || d || '日'
+      WHEN 14 THEN '更新日期:2023-05-06 ' || y || '.' || m || '.' || d
+      WHEN 15 THEN y || '.' || m || '.' || d || ' 至 ' || y || '.12.31'
       ELSE '' END AS date_txt,
     CASE WHEN o_orderpriority LIKE '1%' THEN '免費入場 台北市信義路五段' WHEN o_orderpriority LIKE '2%' THEN '票價：NT$' || substr(p, 1, 4) || ' 華山1914 14:30~16:00'
       WHEN o_orderpriority LIKE '3%' THEN substr(p, 1, 4) || '元 主辦方：文化基金會' WHEN o_orderpriority LIKE '4%' THEN 'NT$100~NT$' || substr(p, 1, 3) || ' 駁二 9:05' ELSE '25:00 主辦：市政府。' END AS body_txt

@@ -83,7 +83,7 @@ def tfidf_single_doc(spark, sf_dir):
 _FNV = "((xor(((xor(14695981039346656037::UBIGINT, unicode(substr(g, 1, 1))::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT, unicode(substr(g, 2, 1))::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT"
 _BITS = " + ".join(f"CASE WHEN sum(n * (2 * ((h >> {b}) & 1)::BIGINT - 1)) > 0 THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64))
 _SIMHASH = f"""
-WITH c AS (SELECT doc_id, lower(substr(text, 1, 2000)) AS t FROM documents),
+WITH c AS (SELECT doc_id, lower(text) AS t FROM documents),
 g AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(CASE WHEN length(t) < 2 THEN [] ELSE list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) END) AS g FROM c) GROUP BY ALL),
 p AS (SELECT doc_id, n, {_FNV} AS h FROM g),
 s AS (SELECT doc_id, {_BITS} AS u FROM p GROUP BY doc_id)
@@ -91,7 +91,7 @@ s AS (SELECT doc_id, {_BITS} AS u FROM p GROUP BY doc_id)
 
 
 def _hashes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), dedup.simhash_of(F.col("text").substr(1, 2000)).alias("simhash"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), dedup.simhash_of(F.col("text")).alias("simhash"))
 
 
 @query(_SIMHASH + "SELECT doc_id, coalesce(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END, 0)::BIGINT AS simhash FROM documents LEFT JOIN s USING (doc_id)")

@@ -18,22 +18,32 @@ def _t():
     return F.lit(TODAY).cast("date")
 
 
-_M, _D, _Y = dates.MONTH, dates.DAY, dates.YEAR
+# the patterns are written out here, so that SQL and Spark don't share a mistake
+_M, _D, _Y = "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])", "(20[2-9][0-9])"
 
 
 def _made(y: str, m: str, d: str) -> str:
     return f"try_cast(lpad({y}, 4, '0') || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE)"
 
 
+def _or(part: str, other: int) -> str:
+    return f"coalesce(nullif({part}, ''), '{other}')"
+
+
 def _all(expr: str, pattern: str, y: str) -> str:
     """DuckDB's list of dates; y is an expression over z (year, month, day as matched, 1-based)."""
     return f"list_filter(list_transform(list_zip(regexp_extract_all({expr}, '{pattern}', 1), regexp_extract_all({expr}, '{pattern}', 2), regexp_extract_all({expr}, '{pattern}', 3)), lambda z: {_made(y, 'z[2]', 'z[3]')}), lambda d: d IS NOT NULL)"
 
 
-_FULL = _all("title", dates.FULL, "z[1]")
+_FULL = _all("title", "(20[2-9][0-9])[-/.年](0?[1-9]|1[0-2])[-/.月](0?[1-9]|[12][0-9]|3[01])", "z[1]")
+_ROC_P = "(1[0-9][0-9])年(?:(0?[1-9]|1[0-2])月(0?[1-9]|[12][0-9]|3[01])日?)?"
+_THEN = _all("title", "(20[2-9][0-9])(?:年|[ \\t\\n]|#)*(?:台|活動|花|聖誕|跨年|春節|演唱|展覽|市集|節|祭).{0,30}?(0?[1-9]|1[0-2])月(0?[1-9]|[12][0-9]|3[01])日?", "z[1]")
+_POST = "'(?:(?:張貼|發布|更新)日期|發佈)[：:]?[ \\t\\n]*(20[12][0-9])[/.-](0?[1-9]|1[0-2])[/.-](0?[1-9]|[12][0-9]|3[01])'"
+_POSTED = f"CASE WHEN nullif(regexp_extract(title, {_POST}, 1), '')::INT < 2023 THEN {_made(*(f'regexp_extract(title, {_POST}, {i})' for i in (1, 2, 3)))} END"
+_QUICK = "nullif(regexp_extract(title, '(1[0-9][0-9])年度?(?:原|市集|活動|展覽|好市)', 1), '')::INT"
 _ROC = (
-    f"list_filter(list_transform(list_zip(regexp_extract_all(title, '{dates.ROC_FULL}', 1), regexp_extract_all(title, '{dates.ROC_FULL}', 2), regexp_extract_all(title, '{dates.ROC_FULL}', 3)), "
-    f"lambda z: {_made('(z[1]::INT + 1911)::STRING', chr(39).join(('CASE WHEN z[2] = ', '', ' THEN ', '12', ' ELSE z[2] END')), chr(39).join(('CASE WHEN z[3] = ', '', ' THEN ', '31', ' ELSE z[3] END')))}), lambda d: d IS NOT NULL)"
+    f"list_filter(list_transform(list_zip(regexp_extract_all(title, '{_ROC_P}', 1), regexp_extract_all(title, '{_ROC_P}', 2), regexp_extract_all(title, '{_ROC_P}', 3)), "
+    f"lambda z: {_made('(z[1]::INT + 1911)::STRING', _or('z[2]', 12), _or('z[3]', 31))}), lambda d: d IS NOT NULL)"
 )
 # without a look-behind: the character before is part of the match
 _BARE_P = f"(?:^|[^0-9]){_M}[/月]{_D}(?:日|[ \\t\\n]|\\)|$)"
@@ -64,8 +74,8 @@ _simple("date_full", {"dates": lambda: _days(dates.full_dates(F.col("title")))},
 _simple("date_roc", {"dates": lambda: _days(dates.roc_dates(F.col("title")))}, f"{_joined(_ROC)} AS dates")
 _simple("date_noyear", {"dates": lambda: _days(dates.bare_dates(F.col("title"), _t()))}, f"{_joined(_BARE)} AS dates")
 _simple("date_relative", {"date": lambda: dates.relative_date(F.col("title"), _t())}, f"{_RELATIVE} AS date")
-_DATED = f"list_concat({_ROC}, {_FULL})"
-_CASCADE = f"""CASE WHEN {_RELATIVE} IS NOT NULL THEN {_RELATIVE} ELSE (
+_DATED = f"list_concat(list_concat({_ROC}, {_FULL}), {_THEN})"
+_CASCADE = f"""CASE WHEN {_QUICK} < 112 THEN make_date({_QUICK} + 1911, 12, 31) WHEN {_RELATIVE} IS NOT NULL THEN {_RELATIVE} WHEN {_POSTED} IS NOT NULL THEN {_POSTED} ELSE (
   SELECT CASE WHEN len(ds) > 0 THEN coalesce(list_min(list_filter(ds, lambda d: d >= {_DAY})), CASE WHEN regexp_matches(t.title, '(^|[^0-9])20(2[5-9]|[3-9][0-9])([^0-9]|$)') THEN make_date(list_max(list_transform(regexp_extract_all(t.title, '(?:^|[^0-9]){_Y}(?:[^0-9]|$)', 1), lambda y: y::INT))::INT, 1, 1) END, list_max(ds))
     WHEN regexp_matches(t.title, '即日起|常設展|長期展出') THEN DATE '2024-02-14' WHEN {_CONTEXT.replace('title', 't.title')}::INT < 2024 THEN make_date({_CONTEXT.replace('title', 't.title')}::INT, 12, 31) END
   FROM (SELECT CASE WHEN len(a) > 0 THEN a ELSE b END AS ds FROM (SELECT {_DATED.replace('title', 't.title')} AS a, {_BARE.replace('title', 't.title')} AS b))) END"""
@@ -86,7 +96,12 @@ def _smart(pattern: str, y: str) -> str:
     return f"list_filter({inner}, lambda d: d IS NOT NULL AND d >= DATE '2023-01-15')"
 
 
-_NEAR = "list_concat(list_concat({}, {}), list_concat({}, {}))".format(*(_smart(p, "y" if y else "none") for p, y, *_ in dates._SMART))
+_SPAN = "[ \\t\\n]*[~至到-][ \\t\\n]*"
+_NUM, _ROCDAY = "([0-9]{4})[/.-]([0-9]{1,2})[/.-]([0-9]{1,2})", "([0-9]{2,3})年([0-9]{1,2})月([0-9]{1,2})日?"
+_NEAR = "flatten([" + ", ".join(_smart(p, y) for p, y in (
+    (f"{_NUM}{_SPAN}{_NUM}", "y"), (f"{_NUM}{_SPAN}([0-9]{{1,2}})[/.-]([0-9]{{1,2}})", "y"), (f"{_ROCDAY}{_SPAN}{_ROCDAY}", "y"), (f"{_ROCDAY}{_SPAN}([0-9]{{1,2}})月([0-9]{{1,2}})日?", "y"),
+    (_ROCDAY, "y"), (_NUM, "y"), ("([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", "y"), ("([0-9]{1,2})月([0-9]{1,2})日", "none"),
+)) + "])"
 _SMART_CTE = f"{LISTED}, near AS (SELECT listing_id, body_txt, {_NEAR} AS ds FROM listing), span AS (SELECT *, list_filter(ds, lambda d: d >= {_DAY}) AS fs FROM near)"
 
 
@@ -154,7 +169,10 @@ _simple("filter_foreign", {"is_foreign": lambda: extract.foreign(F.col("title"))
 _NOISE = f"(len(list_filter({words(dicts.NOISE_KEYWORDS)}, lambda w: contains(title, w))) > 0)"
 _APPLY = f"(len(list_filter({words(dicts.APPLICATION_KEYWORDS)}, lambda w: contains(title, w))) > 0)"
 _simple("filter_noise", {"is_noise": lambda: extract.noise(F.col("title")), "is_application": lambda: extract.application(F.col("title"))}, f"{_NOISE} AS is_noise, {_APPLY} AS is_application")
-_simple("filter_spam", {"spam": lambda: extract.travel_spam(F.concat("title", F.lit(" 機票"))), "ham": lambda: extract.travel_spam(F.col("title"))}, "true AS spam, (regexp_matches(lower(title), '機票|航班|飛往|cheap flights|airfare') OR (regexp_matches(lower(title), '航空|airline') AND NOT regexp_matches(lower(title), '[展節祭]|活動')) OR (contains(title, '特價優惠') AND contains(title, '預訂'))) AS ham")
+_SPAM = "(regexp_matches(lower({0}), '機票|航班|飛往|cheap flights|airfare') OR (regexp_matches(lower({0}), '航空|airline') AND NOT regexp_matches(lower({0}), '[展節祭]|活動')) OR (contains({0}, '特價優惠') AND contains({0}, '預訂')))"
+_ADS = ["", " 機票", " 航空", " airline 活動", " 特價優惠", " 特價優惠 預訂", " Cheap Flights"]
+_AD = "(title || CASE listing_id % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ADS)) + " END)"
+_simple("filter_spam", {"spam": lambda: extract.travel_spam(F.concat("title", F.get(F.array(*map(F.lit, _ADS)), F.col("listing_id") % 7))), "ham": lambda: extract.travel_spam(F.col("title"))}, f"{_SPAM.format(_AD)} AS spam, {_SPAM.format('title')} AS ham")
 _simple("validate_query", {"problem": lambda: extract.valid_query(F.concat("city_txt", F.when(F.col("listing_id") % 5 == 0, "; drop").when(F.col("listing_id") % 5 == 1, "<script>").otherwise("")))},
         "CASE WHEN length(city_txt || s) < 2 THEN 'short' WHEN contains(s, '<script') THEN 'markup' WHEN contains(s, ';') THEN 'sql' ELSE '' END AS problem".replace("s)", "CASE WHEN listing_id % 5 = 0 THEN '; drop' WHEN listing_id % 5 = 1 THEN '<script>' ELSE '' END)").replace("contains(s,", "contains(CASE WHEN listing_id % 5 = 0 THEN '; drop' WHEN listing_id % 5 = 1 THEN '<script>' ELSE '' END,"))
 _simple("title_tokens", {"tokens": lambda: F.array_join(text.tokens(F.col("type_txt")), " ")}, "")

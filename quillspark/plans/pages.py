@@ -47,8 +47,28 @@ _simple("url_admissible", lambda: extract.admissible(F.col("url")), _ADMIT, "adm
 _simple("url_excluded", lambda: extract.excluded(F.col("url")), f"len(list_filter({words(dicts.EXCLUDED_DOMAINS)}, lambda w: contains(lower(url), w))) > 0", "excluded")
 _simple("url_social", lambda: extract.social(F.col("url")), f"len(list_filter({words(dicts.SOCIAL_DOMAINS)}, lambda w: contains(lower(url), w))) > 0", "social")
 _simple("list_page", lambda: extract.looks_like_list(F.col("url"), F.col("html")), """(regexp_matches(lower(url), 'category|list|search|type=|演唱會|展覽|活動|concert|events') OR (contains(lower(url), 'ticket') AND contains(lower(url), '.aspx')) OR len(regexp_extract_all(html, '(?i)href=["''][^"'']*(?:event|activity|show|utk)[^"'']*["'']')) >= 3)""", "is_list")
-_simple("og_title", lambda: extract.meta(F.col("html"), "og:title"), """regexp_extract(html, '(?is)<meta[^>]*property=["'']og:title["''][^>]*content=["'']([^"'']*)["'']', 1)""", "og_title")
-_simple("json_ld_text", lambda: extract.json_ld_text(F.col("html")), """coalesce(array_to_string(list_transform(regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1), lambda b: array_to_string(regexp_extract_all(b, '"(?:caption|description|name|headline)"\\s*:\\s*"([^"]+)"', 1), ' ')), ' '), '')""", "ld_text")
+#: Pages have no metadata of their own; forms of it are added by page, the same in both engines.
+_METAS = ["", '<meta property="og:title" content="One {0}">', '<META content="Two {0}" class="x" property="og:title"/>', "<meta name='og:title' content='Three {0}'>", '<meta property="og:image" content="i.png">']
+_LDS = ["", '<script type="application/ld+json">{{"name": "A {0}", "url": "u", "description" : "B"}}</script>', '<script id="s" type="application/ld+json">[{{"headline":"C"}}]</script> <script type="application/ld+json">{{"caption":"D {0}"}}</script>']
+_MAINS = ["", "<main>Main {0} &amp; <b>bold</b><script>var x</script></main>", '<div class="post-content">Div {0}</div><p>out</p>', '<img src="a" alt="picture {0}"><img title="my LOGO"><img alt="ab">']
+
+
+def _made(forms):
+    """A form by page_id, with the id filled in."""
+    at = F.get(F.array(*map(F.lit, (f.replace("{{", "{").replace("}}", "}") for f in forms))), (F.col("page_id") % len(forms)).cast("int"))
+    return F.replace(at, F.lit("{0}"), F.col("page_id").cast("string"))
+
+
+def _made_sql(forms):
+    cases = " ".join("WHEN {} THEN '{}'".format(i, f.replace("{{", "{").replace("}}", "}").replace("'", "''")) for i, f in enumerate(forms))
+    return f"replace(CASE page_id % {len(forms)} {cases} END, '{{0}}', page_id::VARCHAR)"
+
+
+_OG = """coalesce(nullif(regexp_extract({h}, '(?is)<meta[^>]*property=["'']og:title["''][^>]*content=["'']([^"'']*)["'']', 1), ''),
+  nullif(regexp_extract({h}, '(?is)<meta[^>]*content=["'']([^"'']*)["''][^>]*property=["'']og:title["'']', 1), ''), regexp_extract({h}, '(?is)<meta[^>]*name=["'']og:title["''][^>]*content=["'']([^"'']*)["'']', 1))"""
+_LD = """coalesce(array_to_string(flatten(list_transform(regexp_extract_all({h}, '(?is)<script[^>]*type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1), lambda b: regexp_extract_all(b, '"(?:caption|description|name|headline)"\\s*:\\s*"([^"]+)"', 1))), ' '), '')"""
+_simple("og_title", lambda: extract.meta(F.concat("html", _made(_METAS)), "og:title"), _OG.replace("{h}", f"(html || {_made_sql(_METAS)})"), "og_title")
+_simple("json_ld_text", lambda: extract.json_ld_text(F.concat("html", _made(_LDS))), _LD.replace("{h}", f"(html || {_made_sql(_LDS)})"), "ld_text")
 _simple("page_links", lambda: F.array_join(F.array_distinct(extract.hrefs(F.col("html"))), " "), f"coalesce((SELECT string_agg(h, ' ' ORDER BY i) FROM (SELECT h, min(i) AS i FROM (SELECT unnest({_HREFS}) AS h, generate_subscripts({_HREFS}, 1) AS i) GROUP BY h)), '')", "links")
 _simple("sanitize_title", lambda: text.sanitize(F.concat(extract.page_title(F.col("html")), F.lit(" <b>&'\""))), f"replace(replace(replace(replace(replace({_TITLE} || ' <b>&''\"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')", "safe_title")
 _simple("unsanitize_title", lambda: text.unsanitize(text.sanitize(extract.page_title(F.col("html")))), _TITLE, "title")

@@ -22,12 +22,22 @@ def value(spark, column):
 @pytest.mark.parametrize("said,day", [
     ("今天", DAY(2026, 1, 15)), ("這週末", DAY(2026, 1, 17)), ("下週末", DAY(2026, 1, 24)), ("週四", DAY(2026, 1, 22)), ("下週一", DAY(2026, 1, 26)), ("2026/03/05", DAY(2026, 3, 5)),
     ("3月5日", DAY(2026, 3, 5)), ("114年10月2日", DAY(2025, 10, 2)), ("110年度市集", DAY(2021, 12, 31)), ("常設展", DAY(2026, 2, 14)), ("2024 聖誕市集", DAY(2024, 12, 31)), ("", None), (None, None),
-    ("2026/02/30", DAY(2026, 2, 3)), ("今天 2026/03/05", DAY(2026, 1, 15)),
+    ("2026/02/30", DAY(2026, 2, 3)), ("今天 2026/03/05", DAY(2026, 1, 15)), ("發佈：2019/03/05 展出 2026/03/02", DAY(2019, 3, 5)), ("更新日期:2025/03/05 展出 2026/03/02", DAY(2026, 3, 2)),
+    ("2031 回顧 2020-01-05", DAY(2031, 1, 1)), ("2026台北花伴野餐3月5日", DAY(2026, 3, 5)),
 ])
 def test_date_cascade(spark, said, day):
     assert value(spark, dates.parse_date(F.lit(said).cast("string"), today())) == day
 
 
+@pytest.mark.parametrize("said,start,end", [
+    ("2026/03/05~03/07", DAY(2026, 3, 5), DAY(2026, 3, 5)), ("115年3月5日至115年3月9日", DAY(2026, 3, 5), DAY(2026, 3, 9)), ("2026-03-05", DAY(2026, 3, 5), None), ("2024-01-01", None, None), ("", None, None), ("1月2日", DAY(2026, 1, 2), None),
+])
+def test_smart_dates(spark, said, start, end):
+    span = value(spark, dates.smart_dates(F.lit(said), today()))
+    assert (span.start, span.end) == (start, end)
+    assert value(spark, dates.smart_dates(F.lit("1月2日"), F.lit("2026-12-01").cast("date"))).start == DAY(2027, 1, 2)
+
+
 def test_facts_of_prose(spark):
     info = value(spark, extract.event_info(F.lit("票價：NT$300 時間 14:30~16:00 台北市信義路五段"), today()))
     assert (info.price_min, info.price_max, info.start_time, info.end_time, info.address, info.city, info.completeness) == (300, 300, "14:30", "16:00", "台北市信義路", "台北", 40.0)
