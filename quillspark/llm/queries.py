@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.search_all(_table(spark, sf_dir, "documents"))
+    return lm_scoring.corpus_parse(_table(spark, sf_dir, "documents"))
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
