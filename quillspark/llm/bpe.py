@@ -60,6 +60,7 @@ class Codec:
         plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         plain = plain and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(map(str.isspace, t["content"]))) for t in added)
         plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        self.size = max([*model["vocab"].values(), *special.values()], default=0) + 1
         self.fast = plain and None not in made and made == sorted(set(made)) and len(made) + 256 + len(added) == len(model["vocab"] | special)
         if self.fast:
             import tiktoken
@@ -178,7 +179,7 @@ def _routes(bits: int):
 def _encode(path: str, bits: int, bound: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path, bound)
-        number = [str(i) for i in range(1 << 17)]
+        number = [str(i) for i in range(encoder.codec.size)]
         for batch in slices(batches, "text", 1 << 20):
             data, offsets = text_buffer(batch.column("text"))
             cut, _ = cuts_of(data, offsets, bits)

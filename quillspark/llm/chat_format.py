@@ -105,7 +105,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     role = lambda p: unescape(F.replace(p.substr(F.lit(len(TURN) + 1), line(p) - len(TURN) - 1), F.lit("\\n"), F.lit("\n")))
     body = lambda p: p.substr(line(p) + 1, F.length(p))
     turns = F.transform(parts, lambda p: F.struct(role(p).alias("role"), unescape(body(p)).alias("text")))
-    under = F.zip_with(parts, F.col("loss"), lambda p, s: unescape(F.when(s["length"] > 0, F.right(p, s["length"].cast("int"))).otherwise("")))
+    under = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
     return formatted.select("conv_id", "leaf_id", "formatted", turns.alias("turns"), F.array_join(under, "").alias("loss_text"))
 
 

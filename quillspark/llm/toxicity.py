@@ -1,7 +1,7 @@
 """Toxicity: class-conditional Kneser-Ney models over the characters of words.
 
 Two models, one of toxic and one of ordinary documents, give each character of a word (its end included) a
-probability from up to ``order - 1`` characters before it, from the word's start on.  Inflected and unseen forms
+probability from up to ``order - 1`` characters before it, from the word's start on, which is long enough for a stem.  Inflected and unseen forms
 of an expression share its stem, which a model over whole words can't see.  Both are interpolated Kneser-Ney:
 raw counts at the highest order (and of shorter histories at a word's start), continuation counts below it, and
 at the bottom one distribution shared by both classes, from pooled counts, which smooths what either has rarely
@@ -27,18 +27,29 @@ from pyspark.sql import functions as F
 
 from .labelled import sample
 from .quality import logistic
-from .wordarrays import Words, slices, text_buffer
+from .wordarrays import Words, mix, slices, text_buffer
 
-ORDER = 4
+ORDER, MOST_ORDER = 9, 10
+BITS = 6  # of a symbol
 DISCOUNT = 0.75
 SHARE = 0.01
 _EDGE = 32
+#: Letters without case, one symbol each; of two-byte characters the second byte counts, whose low half has no case.
+_SYMBOL = np.full(256, 29, dtype=np.uint8)
+_SYMBOL[_EDGE] = 1
+_SYMBOL[97:123] = np.arange(2, 28)
+_SYMBOL[48:58] = 28
+_SYMBOL[0x80:0xC0] = 30 + (np.arange(64) & 31)
+_SYMBOL[0xE0:] = 62
+_SYMBOL[0xF0:] = 63
+_DROPPED = np.zeros(256, dtype=bool)
+_DROPPED[0xC2:0xE0] = True
 _STRIP = np.zeros(256, dtype=bool)
 _STRIP[[ord(c) for c in ".,!?%&$#*|;:()\"'"]] = True
 
 
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased words without marks around them: (bytes of distinct words, each with an edge before and after;
+    """Lower-cased words without marks around them: (symbols of distinct words, each with an edge before and after;
     their n + 1 offsets; the distinct word of each word; first word of each text)."""
     w = Words(data, offsets)
     n = len(w)
@@ -58,31 +69,58 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     source = np.repeat(starts[first] - at[:-1] - 1, lengths) + np.arange(at[-1])
     inner = np.ones(at[-1], dtype=bool)
     inner[at[:-1]] = inner[at[1:] - 1] = False
-    out[inner] = np.maximum(data[source[inner]], 1)
-    return out, at, inverse, w.first
+    out[inner] = data[source[inner]]
+    kept = ~_DROPPED[out]
+    return _SYMBOL[out[kept]], np.append(0, np.cumsum(kept))[at], inverse, w.first
 
 
 def grams(chars: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each character but a word's first edge: its history and itself packed in a uint64, and their length."""
+    """For each symbol but a word's first edge: its history and itself packed in a uint64, and their length."""
     n = len(chars)
     start = np.repeat(at[:-1], np.diff(at))
     place = np.arange(n) - start
     code, length = chars.astype(np.uint64), np.minimum(place + 1, order)
-    for back in range(1, order):
+    for back in range(1, min(order, n)):
         shifted = np.zeros(n, dtype=np.uint64)
-        shifted[back:] = chars[: n - back].astype(np.uint64) << np.uint64(8 * back)
+        shifted[back:] = chars[: n - back].astype(np.uint64) << np.uint64(BITS * back)
         code |= np.where(place >= back, shifted, np.uint64(0))
     keep = place > 0
     return code[keep], length[keep]
 
 
+class Places:
+    """Where distinct keys stand in a list: by the high bits of their mixed values, mostly one look each."""
+
+    def __init__(self, keys: np.ndarray):
+        mixed = mix(keys)
+        self.back = np.argsort(mixed)
+        self.mixed = mixed[self.back]
+        bits = max(1, (2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.mixed >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for others."""
+        mixed = mix(keys)
+        slot = (mixed >> self.shift).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        out, open_ = np.full(len(keys), -1, dtype=np.int64), np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            hit = self.mixed[here] == mixed[open_]
+            out[open_[hit]] = self.back[here[hit]]
+            at[open_] += 1
+            open_ = open_[~hit & (here + 1 < end[open_])]
+        return out
+
+
 @dataclass
 class Level:
     """Counts of the grams of one length, by class, and the sums over each history."""
 
-    keys: np.ndarray
+    keys: Places
     counts: np.ndarray  # (2, n), minus the discount
-    histories: np.ndarray
+    histories: Places
     totals: np.ndarray  # (2, m)
     rest: np.ndarray  # (2, m): mass of the lower order
 
@@ -91,7 +129,7 @@ class Level:
 class Model:
     order: int
     levels: dict[int, Level] = field(default_factory=dict)
-    single: np.ndarray = field(default_factory=lambda: np.full((2, 256), 1 / 256))
+    single: np.ndarray = field(default_factory=lambda: np.full((2, 1 << BITS), 1 / (1 << BITS)))
     slope: float = 0.0
     shift: float = 0.0
 
@@ -101,22 +139,23 @@ class Model:
         if not words:
             return np.zeros(0)
         code, length = grams(chars, at, self.order)
-        p = self.single[:, (code & np.uint64(255)).astype(np.int64)]
+        p = self.single[:, (code & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+        known = np.arange(len(code))  # places whose history of this order has been seen; a longer one only if so
         for k in range(2, self.order + 1):
             level = self.levels.get(k)
-            if level is None or not len(level.keys):
-                continue
-            gram = code & np.uint64((1 << 8 * k) - 1)
-            history = gram >> np.uint64(8)
-            h = np.searchsorted(level.histories, history)
-            known = (length >= k) & (level.histories[np.minimum(h, len(level.histories) - 1)] == history)
-            h = h[known]
-            g = np.searchsorted(level.keys, gram[known])
-            g[g == len(level.keys)] = 0
-            seen = level.keys[g] == gram[known]
+            if level is None:
+                break
+            known = known[length[known] >= k]
+            gram = code[known] & np.uint64((1 << BITS * k) - 1)
+            h = level.histories.find(gram >> np.uint64(BITS))
+            seen = h >= 0
+            known, gram, h = known[seen], gram[seen], h[seen]
+            if not len(known):
+                break
+            g = level.keys.find(gram)
             for c in (0, 1):
                 total = level.totals[c, h]
-                own = np.where(seen, level.counts[c, g], 0.0)
+                own = np.where(g >= 0, level.counts[c, g], 0.0)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     p[c, known] = np.where(total > 0, own / total + level.rest[c, h] * p[c, known], p[c, known])
         ratio = np.log(p[1] / p[0])
@@ -145,7 +184,7 @@ def build(code: np.ndarray, length: np.ndarray, counts: np.ndarray, order: int,
         else:
             # continuation counts: distinct characters before; and raw counts of what starts a word
             longer = upper_length == k + 1
-            tail = upper_code[longer] & np.uint64((1 << 8 * k) - 1)
+            tail = upper_code[longer] & np.uint64((1 << BITS * k) - 1)
             starts = code[length == k] if k > 1 else code[:0]
             raw = counts[:, length == k] if k > 1 else counts[:, :0]
             keys, inverse = np.unique(np.concatenate([tail, starts]), return_inverse=True)
@@ -155,7 +194,7 @@ def build(code: np.ndarray, length: np.ndarray, counts: np.ndarray, order: int,
                 np.add.at(own[c], inverse[len(tail) :], raw[c])
         upper_code, upper_length, upper = keys, np.full(len(keys), k), own
         if k == 1:
-            pool = np.full(256, 0.1)
+            pool = np.full(1 << BITS, 0.1)
             np.add.at(pool, keys.astype(np.int64), own.sum(axis=0))
             pool /= pool.sum()
             for c in (0, 1):
@@ -168,14 +207,15 @@ def build(code: np.ndarray, length: np.ndarray, counts: np.ndarray, order: int,
             break
         order_of = np.argsort(keys)
         keys, own = keys[order_of], own[:, order_of]
-        histories, inverse = np.unique(keys >> np.uint64(8), return_inverse=True)
+        histories, inverse = np.unique(keys >> np.uint64(BITS), return_inverse=True)
         totals, kinds = np.zeros((2, len(histories))), np.zeros((2, len(histories)))
         for c in (0, 1):
             np.add.at(totals[c], inverse, own[c])
             np.add.at(kinds[c], inverse, (own[c] > 0).astype(float))
         with np.errstate(divide="ignore", invalid="ignore"):
             rest = np.where(totals > 0, discount * kinds / totals, 1.0)
-        model.levels[k] = Level(keys, np.maximum(own - discount, 0), histories, totals, rest)
+        if len(keys):
+            model.levels[k] = Level(Places(keys), np.maximum(own - discount, 0), Places(histories), totals, rest)
     return model
 
 
@@ -188,7 +228,7 @@ def _gram_counts(order: int):
             label = np.repeat(labels, np.diff(first))
             code, length = grams(chars, at, order)
             word = np.repeat(np.arange(len(at) - 1), np.diff(at) - 1)
-            key, back = np.unique(code | length.astype(np.uint64) << np.uint64(8 * order), return_inverse=True)
+            key, back = np.unique(code | length.astype(np.uint64) << np.uint64(BITS * order), return_inverse=True)
             for c in (0, 1):
                 times = np.bincount(inverse[label == c], minlength=len(at) - 1)
                 n = np.zeros(len(key))
@@ -204,8 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
 
     Without documents of both labels every text scores the share of label 1 (1/2 without labels).
     """
-    if not 2 <= order <= 7:
-        raise ValueError("order must be in 2..7")
+    if not 2 <= order <= MOST_ORDER:
+        raise ValueError("order must be in 2..10")
     rows = sample(docs, labels, label_col, usable, most, True, id_col, text_col)
     rows = rows.groupBy("text").agg(F.max("label").alias("label")).withColumn("apart", F.xxhash64("text") % 4 == 0).persist()
     shares = dict(labels.filter(usable & F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int")).count().collect())
@@ -218,8 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     if not len(packed_grams) or not counts.sum(axis=1).all():
         rows.unpersist()
         return Model(order, slope=0.0, shift=prior)
-    width = np.uint64(8 * order)
-    model = build(packed_grams & np.uint64((1 << 8 * order) - 1), (packed_grams >> width).astype(np.int64), counts, order)
+    width = np.uint64(BITS * order)
+    model = build(packed_grams & np.uint64((1 << BITS * order) - 1), (packed_grams >> width).astype(np.int64), counts, order)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = rows.filter("apart").select("label", _statistic(shared)("text").alias("s")).toArrow()
     rows.unpersist()
