@@ -311,3 +311,14 @@ REFINE_PLACE_WORDS: list[str] = _list("""
     信義 / 大安 / 中山 / 松山 / 內湖 / 士林 / 北投 / 萬華 / 中正 / 大同 / 板橋 / 新店 / 中和 / 永和 / 三重 / 淡水 / 西門 / 東區 / 天母
     台北 / 新北 / 台中 / 高雄 / 台南 / 桃園 / 華山 / 松菸 / 駁二 / 草悟道 / 逢甲 / 一中
 """)
+
+CATEGORIES: list[tuple[str, str, str, str]] = [  # id, name and request, icon, colour
+    ("market", "市集", "🛍️", "#FF6B6B"), ("art", "展覽", "🎨", "#4ECDC4"), ("concert", "演唱會", "🎤", "#95E1D3"), ("festival", "音樂節", "🎵", "#F38181"),
+    ("lecture", "講座", "📚", "#AA96DA"), ("workshop", "工作坊", "🛠️", "#FCBAD3"), ("family", "親子", "👨‍👩‍👧‍👦", "#FFFFD2"), ("outdoor", "戶外", "🏕️", "#A8D8EA"),
+    ("food", "美食", "🍜", "#FFD93D"), ("sports", "運動", "⚽", "#6BCB77"), ("pet", "寵物", "🐾", "#FDA7DF"), ("celebration", "節慶", "🎊", "#E4A5FF"),
+]
+
+CITY_NAMES: list[tuple[str, str]] = _pairs("""
+    Taipei=台北 / New Taipei=新北 / Taoyuan=桃園 / Taichung=台中 / Tainan=台南 / Kaohsiung=高雄 / Keelung=基隆 / Hsinchu=新竹
+    타이베이=台北 / 신베이=新北 / 타오위안=桃園 / 타이중=台中
+""")

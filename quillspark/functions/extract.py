@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import dicts
 from .dates import smart_dates, time_range
-from .text import any_of, city_in, contains_any, first_hit, squeeze, text_of
+from .text import any_of, city_in, contains_any, first_hit, sanitize, squeeze, text_of
 
 _TO = r"\s*[~至到-]\s*"
 FREE = "免[費票]|[Ff]ree|FREE|自由入場"
@@ -186,6 +186,17 @@ def valid_query(query: Column) -> Column:
     return F.when(query.isNull(), "missing").when(F.length(t) < 2, "short").when(F.length(t) > 100, "long").when(t.rlike(_XSS), "markup").when(t.rlike(_SQL), "sql").otherwise("")
 
 
+def checked_query(query: Column) -> Column:
+    """struct<valid, problem, value>: the trimmed request without markup, null if there is a problem."""
+    problem = valid_query(query)
+    return F.struct((problem == "").alias("valid"), problem.alias("problem"), F.when(problem == "", sanitize(query)).alias("value"))
+
+
+def allowed_characters(query: Column) -> Column:
+    """Only Han, ASCII letters and digits, white space and common marks, at least one."""
+    return text_of(query).rlike(r"^[\u4e00-\u9fff\u3400-\u4dbfa-zA-Z0-9\s\-_.，。、！？]+$")
+
+
 def valid_page(page: Column) -> Column:
     n = F.when(page.rlike(r"^\s*[+-]?[0-9]{1,9}\s*$"), F.trim(page).cast("int"))
     return F.when(n.between(1, 100), n).otherwise(1)

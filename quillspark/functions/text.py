@@ -218,8 +218,7 @@ def grams(c: Column, n: int) -> Column:
 
 
 def _not_stop(words: Column) -> Column:
-    stop = words_literal(dicts.STOP_WORDS)
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(*dicts.STOP_WORDS))  # a hash set
 
 
 def han_tokens(run: Column) -> Column:

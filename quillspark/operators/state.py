@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,7 +37,7 @@ def swept_sessions(log: DataFrame, key: str, ts: str, order: str, ttl_s: int) ->
     d = log.withColumn("__day", day)
     last = d.groupBy("__day").agg(F.max(_micros(ts)).alias("__last"))
     # one row a day: the latest request of any day before
-    carried = last.alias("a").join(last.alias("b"), F.col("b.__day") < F.col("a.__day"), "left").groupBy(F.col("a.__day").alias("__day")).agg(F.max("b.__last").alias("__before"))
+    carried = last.select("__day", F.max("__last").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     d = d.join(F.broadcast(carried), "__day", "left")
     anyone = F.coalesce(F.lag(_micros(ts)).over(Window.partitionBy("__day").orderBy(ts, order)), F.col("__before"))
     d = d.withColumn("__anyone", anyone)
@@ -90,6 +90,45 @@ def cache_hits(log: DataFrame, key: str, ts: str, order: str, ttl_s: int = 300)
     return out.select(F.col("k").alias("key"), F.col("o").alias("ordinal"), F.col("verdict").alias("hit"))
 
 
+def keyed_cache(log: DataFrame, cache: str, key: str, ts: str, order: str, capacity: int = 100, ttl_s: int = 300, recent: bool = True) -> DataFrame:
+    """(cache, ordinal, hit) of a cache of ``capacity`` keys whose entries expire ``ttl_s`` after they were written.
+
+    A miss writes its key; over capacity, the key goes that was used (``recent``) or written longest ago.  Accesses of a
+    cache are in the order of (ts, order); null keys and times are passed over.  A cache's state, ``capacity`` keys, is
+    all that its task holds; the rule is a fold over the accesses of one cache.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner: object = object()
+        entries: dict[str, int] = {}
+        for f in frames:
+            hits = []
+            for c, k, t in zip(f["cache"], f["k"], f["t"]):
+                if c != owner:
+                    owner, entries = c, {}
+                written = entries.get(k)
+                if written is not None and t - written > ttl_s * 1_000_000:
+                    del entries[k]
+                    written = None
+                hits.append(written is not None)
+                if written is None:
+                    entries[k] = t
+                    if len(entries) > capacity:
+                        del entries[next(iter(entries))]
+                elif recent:
+                    entries[k] = entries.pop(k)
+            yield pd.DataFrame({"cache": f["cache"], "ordinal": f["o"], "hit": hits})
+
+    rows = log.select(F.col(cache).cast("string").alias("cache"), F.col(key).cast("string").alias("k"), _micros(ts).alias("t"), F.col(order).cast("long").alias("o"))
+    rows = rows.filter("k IS NOT NULL AND t IS NOT NULL AND cache IS NOT NULL").repartition("cache").sortWithinPartitions("cache", "t", "o")
+    return rows.mapInPandas(run, "cache string, ordinal long, hit boolean")
+
+
+def unexpired(entries: DataFrame, written: str, now: Column, ttl_s: int = 300) -> DataFrame:
+    """Entries that a sweep at ``now`` leaves."""
+    return entries.filter(F.unix_micros(now) - _micros(written) <= ttl_s * 1_000_000)
+
+
 def hit_rate(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(0.0)).alias("hit_rate"))
 

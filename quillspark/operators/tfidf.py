@@ -9,11 +9,12 @@ from quillspark.functions import dicts
 from quillspark.functions.text import tokens
 
 
-def term_counts(docs: DataFrame, id_col: str, *weighted: tuple[Column, int]) -> DataFrame:
-    """(doc_id, term, n): occurrences of tokens, a text counted as often as its weight."""
+def term_counts(docs: DataFrame, id_col: str, *weighted: tuple[Column, int], only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, n): occurrences of tokens, a text counted as often as its weight; of the terms in ``only``, if given."""
     parts = F.flatten(F.array(*(F.array_repeat(F.struct(tokens(c).alias("t"), F.lit(w).alias("w")), 1) for c, w in weighted)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(parts).alias("p"))
     terms = rows.select("doc_id", F.explode("p.t").alias("term"), F.col("p.w").alias("w"))
+    terms = terms if only is None else terms.join(only.select("term").distinct(), "term", "left_semi")
     return terms.groupBy("doc_id", "term").agg(F.sum("w").alias("n"))
 
 
@@ -27,7 +28,8 @@ def idf(df: Column, docs: Column, term: Column, boost: float = 1.3) -> Column:
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # counts n, so that no column is pruned and the exchange of ``counts`` is used again
+    return counts.groupBy("term").agg(F.count("n").alias("df"))
 
 
 def inverse_frequency(counts: DataFrame, docs: DataFrame, boost: float = 1.3) -> DataFrame:
@@ -36,9 +38,13 @@ def inverse_frequency(counts: DataFrame, docs: DataFrame, boost: float = 1.3) ->
     return document_frequency(counts).crossJoin(F.broadcast(total)).select("term", "df", idf(F.col("df"), F.col("docs"), F.col("term"), boost).alias("idf"))
 
 
-def scores(counts: DataFrame, weights: DataFrame, queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, times) of requests (query_id, query)."""
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def scores(counts: DataFrame, weights: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): tf * idf summed over query terms, repeats counted; pairs without a term are left out."""
-    wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     matched = counts.join(wanted, "term").join(weights.select("term", "idf"), "term")
     return matched.groupBy("query_id", "doc_id").agg(F.sum(log_tf(F.col("n")) * F.col("idf") * F.col("times")).alias("score"))
 
@@ -49,5 +55,6 @@ def normalised(scored: DataFrame, top: float = 30.0) -> DataFrame:
     return scored.withColumn("points", F.col("score") / F.when(best < 0.001, 1.0).otherwise(best) * top)
 
 
-def inverted_index(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+def inverted_index(counts: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(term, block, doc_ids): postings in blocks of ids, so that no row holds all documents of a common word."""
+    return counts.groupBy("term", F.floor(F.col("doc_id") / block).alias("block")).agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))

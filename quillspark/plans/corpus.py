@@ -28,7 +28,9 @@ def _weights(spark, sf_dir):
 
 def _scores(spark, sf_dir):
     requests = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return tfidf.scores(_counts(spark, sf_dir), _weights(spark, sf_dir), requests)
+    wanted, docs = tfidf.query_terms(requests), table(spark, sf_dir, "documents")
+    counts = tfidf.term_counts(docs, "doc_id", (F.col("text"), 1), only=wanted)  # idf is of these terms only, too
+    return tfidf.scores(counts, tfidf.inverse_frequency(counts, docs), wanted)
 
 
 @query(f"SELECT doc_id, len({_TOK}) AS n_tokens, array_to_string({_TOK}, ' ') AS tokens FROM documents")
@@ -52,10 +54,10 @@ def inverse_doc_freq(spark, sf_dir):
     return _weights(spark, sf_dir).withColumn("idf", F.round("idf", 6))
 
 
-@query(f"WITH {_TF} SELECT term, count(*) AS n_docs, string_agg(doc_id::STRING, ' ' ORDER BY doc_id) AS docs FROM tf GROUP BY term")
+@query(f"WITH {_TF} SELECT term, doc_id // 65536 AS block, count(*) AS n_docs, string_agg(doc_id::STRING, ' ' ORDER BY doc_id) AS docs FROM tf GROUP BY term, block")
 def inverted_index(spark, sf_dir):
     index = tfidf.inverted_index(_counts(spark, sf_dir))
-    return index.select("term", F.size("doc_ids").cast("long").alias("n_docs"), F.array_join(F.col("doc_ids").cast("array<string>"), " ").alias("docs"))
+    return index.select("term", "block", F.size("doc_ids").cast("long").alias("n_docs"), F.array_join(F.col("doc_ids").cast("array<string>"), " ").alias("docs"))
 
 
 @query(f"WITH {_TF}, {_Q} SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM q JOIN tf USING (term) GROUP BY item_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import dates, dicts, extract, requests, text
 from quillspark.operators import ranking
 
-from .catalog import LISTED, TODAY, first_hit, listing, query, words
+from .catalog import LISTED, TODAY, first_hit, held, listing, query, words
 
 _DAY = f"DATE '{TODAY}'"
 
@@ -255,7 +255,8 @@ def _ranked(spark, sf_dir):
     rows = listing(spark, sf_dir).withColumn("query_id", F.col("listing_id") % 50)
     none = F.struct(F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end"))
     total = ranking.final_score(F.col("score"), _text_points(), ranking.date_score(F.col("day"), _t(), none), F.lit(0.0), _factor())
-    return rows.select("query_id", "listing_id", ranking.half_up(total, 4).alias("score"))
+    # held: filters, windows and the norm use the score some five times
+    return held(rows, total=ranking.half_up(total, 4)).select("query_id", "listing_id", F.col("total").alias("score"))
 
 
 _FINAL = f"{LISTED}, f AS (SELECT listing_id % 50 AS query_id, listing_id, floor(greatest(0e0, (score + {_TEXT} + {_DATE}) * {_FACTOR}) * 1e4 + 0.5e0) / 1e4 AS score FROM listing)"

@@ -52,6 +52,33 @@ def cache_hit_rate(spark, sf_dir):
     return state.hit_rate(cache_ttl(spark, sf_dir))
 
 
+_STACK = """WITH o AS (SELECT {cache} AS cache, user_id AS k, event_id, row_number() OVER (PARTITION BY {cache} ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT *, lag(i) OVER (PARTITION BY cache, k ORDER BY i) AS last FROM o),
+d AS (SELECT p.cache, p.k, p.event_id, p.last, count(DISTINCT o.k) AS others FROM p LEFT JOIN o ON o.cache = p.cache AND o.i > p.last AND o.i < p.i GROUP BY ALL)
+"""
+
+
+@query(_STACK.format(cache="event_type") + "SELECT cache, event_id AS ordinal, last IS NOT NULL AND others < 60 AS hit FROM d")
+def cache_lru(spark, sf_dir):
+    """A cache of 60 users for each type of event; a key is there while fewer than 60 others were used since."""
+    return state.keyed_cache(_events(spark, sf_dir), "event_type", "user_id", "ts", "event_id", capacity=60, ttl_s=10**9)
+
+
+@query(_STACK.format(cache="0") + "SELECT least(count(DISTINCT k), 100)::INT AS size, 100 AS max_size, count(*) FILTER (WHERE last IS NOT NULL AND others < 100) AS hits, count(*) FILTER (WHERE last IS NULL OR others >= 100) AS misses, round(avg((last IS NOT NULL AND others < 100)::INT) * 100, 2) AS hit_rate, 1000000000 AS ttl_seconds FROM d")
+def cache_stats(spark, sf_dir):
+    from .responses import cache_report
+
+    log = _events(spark, sf_dir).withColumn("cache", F.lit(0))
+    hits = state.keyed_cache(log, "cache", "user_id", "ts", "event_id", ttl_s=10**9).join(log.select(F.col("event_id").alias("ordinal"), "user_id"), "ordinal")
+    return cache_report(hits, F.col("user_id"), 100, 10**9)
+
+
+@query("SELECT user_id, max(ts) AS written FROM events GROUP BY user_id HAVING TIMESTAMP '2024-01-30 12:00:00' - max(ts) <= INTERVAL 6 HOUR")
+def cache_unexpired(spark, sf_dir):
+    entries = _events(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("written"))
+    return state.unexpired(entries, "written", F.lit("2024-01-30 12:00:00").cast("timestamp"), 6 * 3600)
+
+
 @query("WITH n AS (SELECT user_id AS user, event_type AS word, count(*) AS n FROM events GROUP BY ALL) SELECT *, round(least(2.0, sum(n * 0.05) OVER (PARTITION BY user))::DOUBLE, 6) AS boost, round((1 + 0.1 * least(n, 10))::DOUBLE, 6) AS weight FROM n")
 def habit_boost(spark, sf_dir):
     h = state.habits(_events(spark, sf_dir), "user_id", "event_type")

@@ -137,12 +137,12 @@ WITH t AS (SELECT page_id, {_DOMAIN} AS host, trim(regexp_replace(regexp_replace
 g AS (SELECT *, {_GRAMS.format('k')} AS gs FROM t)
 SELECT a.page_id AS a, b.page_id AS b, round(CASE WHEN a.k = '' OR b.k = '' THEN 0.0 WHEN a.k = b.k THEN 1.0 WHEN contains(a.k, b.k) OR contains(b.k, a.k) THEN 0.85
   WHEN len(list_distinct(list_concat(a.gs, b.gs))) = 0 THEN 0.0 ELSE len(list_intersect(a.gs, b.gs))::DOUBLE / len(list_distinct(list_concat(a.gs, b.gs))) END::DOUBLE, 6) AS similarity
-FROM g a JOIN g b ON a.host = b.host AND a.page_id < b.page_id""")
+FROM (SELECT *, lag(page_id) OVER (PARTITION BY host ORDER BY page_id) AS last FROM g) b JOIN g a ON a.page_id = b.last""")
 def title_similarity(spark, sf_dir):
-    p = scored_pages(spark, sf_dir).select("pos", "query_id", "title")
-    x, y = p.alias("x"), p.alias("y")
-    pairs = x.join(y, (F.col("x.query_id") == F.col("y.query_id")) & (F.col("x.pos") < F.col("y.pos")))
-    return pairs.select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b"), F.round(text.title_similarity(F.col("x.title"), F.col("y.title")), 6).alias("similarity"))
+    """Neighbouring pages of a host; all pairs of one would grow with its square."""
+    w = Window.partitionBy("query_id").orderBy("pos")
+    p = scored_pages(spark, sf_dir).select("pos", "title", F.lag("pos").over(w).alias("a"), F.lag("title").over(w).alias("other"))
+    return p.filter("a IS NOT NULL").select("a", F.col("pos").alias("b"), F.round(text.title_similarity(F.col("other"), F.col("title")), 6).alias("similarity"))
 
 
 @query(f"SELECT {_DOMAIN} AS domain, count(*) AS pages, sum(length(html))::BIGINT AS total FROM pages GROUP BY 1")
