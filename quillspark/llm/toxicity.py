@@ -22,14 +22,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import sample
 from .quality import logistic
 from .wordarrays import Words, mix, slices, text_buffer
 
-ORDER, MOST_ORDER = 9, 10
+ORDER, MOST_ORDER = 8, 10
 BITS = 6  # of a symbol
 DISCOUNT = 0.75
 SHARE = 0.01
@@ -132,6 +132,31 @@ class Model:
     single: np.ndarray = field(default_factory=lambda: np.full((2, 1 << BITS), 1 / (1 << BITS)))
     slope: float = 0.0
     shift: float = 0.0
+    grams: np.ndarray | None = None  # what it is built of, and all that is sent to workers
+    counts: np.ndarray | None = None
+    sent: object = None
+
+    def __getstate__(self) -> dict:
+        """Differences of the sorted grams and counts, byte by byte, which compress to a few bytes a gram."""
+        if self.grams is None:
+            return {"order": self.order, "single": self.single}
+        step = np.diff(self.grams, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+        return {"order": self.order, "grams": step.tobytes(), "counts": np.ascontiguousarray(self.counts, dtype=np.uint32).view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1).tobytes()}
+
+    def __setstate__(self, state: dict) -> None:
+        made = Model(state["order"])
+        if "single" in state:
+            made.single = state["single"]
+        else:
+            grams = np.cumsum(np.ascontiguousarray(np.frombuffer(state["grams"], np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+            counts = np.ascontiguousarray(np.frombuffer(state["counts"], np.uint8).reshape(2, 4, -1).transpose(0, 2, 1)).view(np.uint32).reshape(2, -1)
+            made = of_grams(grams, counts.astype(np.float64), state["order"])
+        self.__dict__.update(made.__dict__)
+
+    def broadcast(self, spark: SparkSession):
+        """One broadcast for all uses; slope and shift aren't part of it."""
+        self.sent = self.sent or spark.sparkContext.broadcast(self)
+        return self.sent
 
     def ratios(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
@@ -219,6 +244,14 @@ def build(code: np.ndarray, length: np.ndarray, counts: np.ndarray, order: int,
     return model
 
 
+def of_grams(packed_grams: np.ndarray, counts: np.ndarray, order: int) -> Model:
+    """From sorted grams with their length above ``order`` symbols, and their counts."""
+    width = np.uint64(BITS * order)
+    model = build(packed_grams & np.uint64((1 << BITS * order) - 1), (packed_grams >> width).astype(np.int64), counts, order)
+    model.grams, model.counts = packed_grams, counts
+    return model
+
+
 def _gram_counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -258,9 +291,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     if not len(packed_grams) or not counts.sum(axis=1).all():
         rows.unpersist()
         return Model(order, slope=0.0, shift=prior)
-    width = np.uint64(BITS * order)
-    model = build(packed_grams & np.uint64((1 << BITS * order) - 1), (packed_grams >> width).astype(np.int64), counts, order)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    order_of = np.argsort(packed_grams)
+    model = of_grams(packed_grams[order_of], counts[:, order_of], order)
+    shared = model.broadcast(docs.sparkSession)
     held = rows.filter("apart").select("label", _statistic(shared)("text").alias("s")).toArrow()
     rows.unpersist()
     y, s = held.column("label").to_numpy(), held.column("s").to_numpy()
@@ -286,7 +319,7 @@ def _statistic(shared):
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """The score of a text column of ``docs``, 0 to 1; null, empty and blank texts have the score of no evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.broadcast(docs.sparkSession)
     z = _statistic(shared)(F.col(text_col).cast("string")) * model.slope + model.shift
     return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
 
