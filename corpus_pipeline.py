@@ -67,7 +67,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; results between them are written to the shared folder and read again."""
+    """All stages over ``documents``; results between them are written to the shared folder and read again.
+
+    Null and empty texts pass every stage that their score and class let them pass, and end with no tokens; of classes,
+    the least id stays (null ids last); repeated rows are one class; a null id stays null; an empty table gives none.
+    """
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
