@@ -269,6 +269,19 @@ def social_text(html: Column) -> Column:
     return F.when(~wall & (content != ""), F.struct(F.coalesce(F.nullif(title, F.lit("")), F.lit("Instagram")).alias("title"), content.alias("content")))
 
 
+@query("SELECT page_id, length(html)::DOUBLE AS score, row_number() OVER (ORDER BY length(html) DESC, page_id)::INT AS place FROM pages QUALIFY place <= 20")
+def top_pages(spark, sf_dir):
+    """The twenty pages with the highest score: a partial top-k in every task, then one over those."""
+    best = table(spark, sf_dir, "pages").select("page_id", F.length("html").cast("double").alias("score")).orderBy(F.col("score").desc(), "page_id").limit(20)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "page_id")))
+
+
+@query("SELECT regexp_replace(regexp_replace(lower(url), '^.*?://', ''), '/.*$', '') AS domain, sum(length(html))::DOUBLE AS total, row_number() OVER (ORDER BY sum(length(html)) DESC, domain)::INT AS place FROM pages GROUP BY domain QUALIFY place <= 20")
+def top_sites(spark, sf_dir):
+    sites = table(spark, sf_dir, "pages").groupBy(text.url_domain(F.col("url")).alias("domain")).agg(F.sum(F.length("html")).cast("double").alias("total"))
+    return sites.orderBy(F.col("total").desc(), "domain").limit(20).withColumn("place", F.row_number().over(Window.orderBy(F.col("total").desc(), "domain")))
+
+
 # Keywords
 
 _WEIGHT = "coalesce(CASE lower({0}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dicts.PREDEFINED_WEIGHTS) + " END, 1.0)::DOUBLE"

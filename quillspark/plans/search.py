@@ -35,10 +35,15 @@ def effective_city(query: Column, user_city: Column) -> Column:
     return F.coalesce(requests.city_of(query), F.nullif(user_city, F.lit("")))
 
 
+def once(c: Column, f) -> Column:
+    """``f`` of a column that it uses often: bound as a lambda's argument, so that the expression stays small."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def source_query(query: Column, user_city: Column, today: Column) -> Column:
     """What the source is asked: with the user's city if none is said, expanded and refined."""
-    said = F.when(requests.city_of(query).isNull() & user_city.isNotNull(), F.concat_ws(" ", user_city, query)).otherwise(query)
-    return requests.refine(requests.expand(said, today), today)
+    said = once(query, lambda q: F.when(requests.city_of(q).isNull() & user_city.isNotNull(), F.concat_ws(" ", user_city, q)).otherwise(q))
+    return once(once(said, lambda q: requests.expand(q, today)), lambda q: requests.refine(q, today))
 
 
 def hits_of(pages: DataFrame, asked: DataFrame, most: int = HITS) -> DataFrame:
@@ -168,28 +173,35 @@ def promoted(pages: DataFrame, today: Column) -> DataFrame:
     return made.withColumns(final).drop("sub_date", "sub_city", "sub_domain", "is_sub", "points", "place")
 
 
-def ranked(pages: DataFrame, today: Column, user_city: Column) -> DataFrame:
-    """Final scores of each request's pages, those over 0.01, in 10 to 100; ``pos`` is the place before."""
+def totals(pages: DataFrame, today: Column, user_city: Column) -> DataFrame:
+    """Final scores of each request's pages in the order of ``pos``."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
     ready = few(pages.withColumn("place", place), when=requests.query_range(F.col("query"), today), near=effective_city(F.col("query"), user_city))
     total = ranking.final_score(
         F.col("score"), ranking.text_score(F.col("title"), F.col("content"), F.col("query"), F.col("toks")), ranking.date_score(F.col("event_date"), today, F.col("when")),
         ranking.freshness(F.col("place")), ranking.multiplier(F.col("title"), F.col("url"), F.col("city"), F.col("event_date"), F.col("near"), today),
     )
-    return ranking.normalise(few(ready, total=total).drop("score").withColumnRenamed("total", "score"))
+    return few(ready, total=total).drop("score", "when", "near", "place").withColumnRenamed("total", "score")
+
+
+def candidates(pages: DataFrame, asked: DataFrame, today: Column, most: int = HITS, crawl: int = CRAWLED) -> DataFrame:
+    return crawled(nodes(admitted(hits_of(pages, asked, most)), today), today, crawl)
+
+
+def first_totals(pages: DataFrame, asked: DataFrame, today: Column, user_city: Column, most: int = HITS) -> DataFrame:
+    """Source limit, admission, nodes, crawl of the first five, TF-IDF and facts, dedup, promotion, final scores."""
+    full = informed(candidates(pages, asked, today, most), today)
+    scored = with_tfidf(full).withColumn("score", F.col("points") + F.col("bonus")).drop("bonus", "points")
+    return totals(promoted(dedup.deduplicate(scored), today), today, user_city)
 
 
 def search(pages: DataFrame, asked: DataFrame, today: Column, user_city: Column, page: int = 1, most: int = HITS) -> DataFrame:
     """One page of ranked results of each request (query_id, query) over pages (pos, url, html).
 
-    Source limit, admission, nodes, crawl of the first five, TF-IDF and facts, dedup, promotion, ranks: after the limit,
-    every step has ``most`` rows a request.
+    After the source's limit, every step has ``most`` rows a request.
     """
-    found = crawled(nodes(admitted(hits_of(pages, asked, most)), today), today)
-    full = informed(found, today)
-    scored = with_tfidf(full).withColumn("score", F.col("points") + F.col("bonus")).drop("bonus", "points")
-    unique = dedup.deduplicate(scored)
-    paged = ranking.paginate(ranked(promoted(unique, today), today, user_city), F.lit(page), order=(F.col("score").desc(), F.col("pos")))
+    ranked = ranking.normalise(first_totals(pages, asked, today, user_city, most))
+    paged = ranking.paginate(ranked, F.lit(page), order=(F.col("score").desc(), F.col("pos")))
     return paged.select("query_id", "rank", "title", "url", "domain", "score", "city", F.coalesce(F.date_format("event_date", "yyyy-MM-dd"), F.lit("")).alias("event_date"), "total_count", "total_pages")
 
 

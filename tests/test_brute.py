@@ -330,3 +330,31 @@ def test_answers_of_the_search_are_json(spark):
     df = spark.createDataFrame(rows, "query_id long, rank int, title string, url string, domain string, score double, city string, event_date string, total_count long, total_pages int")
     body = json.loads(responses.as_json(df).first().body)
     assert (body["totalCount"], body["cached"], [r["rank"] for r in body["results"]], body["results"][0]["score"], body["results"][0]["city"]) == (3, False, [1, 2], 100.0, "")
+
+
+def test_crawl_merge(spark):
+    day = F.lit("2024-01-15").cast("date")
+    page = '<a href="/event/1">台北 展覽 one</a><a href="/a">x</a><a href="/b">y</a><a href="http://other.com/">z</a><a href="/c-d">w</a>'
+    rows = [  # pos, url, title, crawled title, body, snippet, date, city, order
+        (1, "https://tixcraft.com/", "short", "a longer title", "body 2024/03/05 台中", "snip", None, None, 1),
+        (2, "https://www.facebook.com/x", "short", "a longer title", "body", "social 2024/02/01 高雄", None, "全台", 2),
+        (3, "https://b.example.com/", "the longest title", "less", "body 台南", "snip", "2024-05-05", "全台", 3),
+        (4, "https://c.example.com/", "short", "a longer title", "body 台南", "snip", None, None, 6),
+    ]
+    df = spark.createDataFrame(rows, "pos long, url string, title string, crawled_title string, body string, snippet string, event_date string, city string, order int")
+    df = df.withColumns({"event_date": F.col("event_date").cast("date"), "html": F.lit(page), "query_id": F.lit(0), "query": F.lit("台北"), "toks": F.array(F.lit("台北")), "domain": text.url_domain(F.col("url")), "content": F.col("snippet")})
+    got = {r.pos: r for r in search.crawled(df, day).collect()}
+    shown = {k: (r.title, r.content, str(r.event_date), r.city, [(s.url, s.title, s.score) for s in r.subs]) for k, r in got.items()}
+    links = lambda h: [(f"https://{h}/event/1", "1", 0.0), (f"https://{h}/a", "a", 0.0), (f"https://{h}/b", "b", 0.0), (f"https://{h}/c-d", "c d", 0.0)]
+    assert shown[1] == ("a longer title", rows[0][4], "2024-03-05", "台中", links("tixcraft.com"))
+    assert shown[2] == ("short", rows[1][5], "2024-02-01", "全台", [])
+    assert shown[3] == ("the longest title", rows[2][4], "2024-05-05", "台南", [("https://b.example.com/event/1", "台北 展覽 one x y z w", 5.0), *links("b.example.com")])  # a card to the last link's end
+    assert shown[4] == ("short", "snip", "None", None, [])
+
+
+def test_city_and_request_for_the_source(spark):
+    day = F.lit("2024-01-15").cast("date")
+    assert ask_all(spark, lambda q: search.effective_city(q, F.lit("高雄")), ["台中展覽", "展覽", "taipei x"]) == ["台中", "高雄", "台北"]
+    assert ask_all(spark, lambda q: search.effective_city(q, F.lit(None).cast("string")), ["展覽"]) == [None]
+    assert ask_all(spark, lambda q: search.source_query(q, F.lit("高雄"), day), ["台中展覽", "展覽"]) == ["台中展覽 特展 (2024 OR 2025)", "高雄 展覽 特展 (2024 OR 2025)"]
+
