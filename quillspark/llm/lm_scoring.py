@@ -10,17 +10,21 @@ The reference of a corpus is the corpus itself without the document, so scores a
 documents and streams all reference texts through it.  That is exact for any length, and its work is the product of
 both sides: right for a given reference, out of reach for a corpus against itself.
 
-``corpus_parse`` is for the corpus against itself, in work and shuffle that grow with the corpus.  It looks every run
-of ``LENGTHS`` words up among the runs of all other texts: all lengths to 8, then four for each doubling.  A longer
-match between two of them is taken as the lower one and the rest as the next phrase; nothing else differs.
+``corpus_parse`` is for the corpus against itself, in work and shuffle that grow with the corpus, and exact as well: it
+looks runs of words up among the runs of all other texts.
 
 * Texts are packed in batches of about ``batch`` bytes, words as 64-bit hashes.  A batch sends every distinct hash of
   its runs to the bucket of that hash; a hash that came from two batches is shared, and a bit for each goes back.
   Inside a batch, a run of two texts is shared as well.  Distinct texts are in one batch each, so no text meets itself.
-* A run can only be shared if all shorter ones in it are: each phase sends what the phase before left, some 0.75,
-  0.5 and 0.45 hashes a word, then those of the passages that repeat.
+* Runs of 1 to 8 words are all looked up, in three phases.  A run can only be shared if all shorter ones in it are: each
+  phase sends what the phase before left, some 0.75, 0.5 and 0.45 hashes a word.
+* Matches of over 8 words lie in passages, stretches of places where runs of 8 are shared.  The place where the longest
+  match ends never falls from one place to the next, so it is held between two bounds for every place, and one answer
+  settles many places.  A round asks for some runs (place, length): first each passage whole, then a grid of places and
+  ends between the bounds.  An asked length goes by the run of 8 it starts with to all places that have this run; they
+  and the asker look their runs of that length up as before.  Rounds go on until no bounds differ.
 * A hot word, passage or text is one hash for each batch; buckets are uniform.  Copies of a text are parsed once.
-* Every phase is written to the shared folder; a lost executor repeats its tasks of one phase.
+* Every phase is written to the shared folder, where tasks read packed texts; a lost executor repeats its tasks of one.
 """
 
 from __future__ import annotations
@@ -31,19 +35,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
+import pyarrow.parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, materialise, release
-from .wordarrays import rolled, slices, words_of
+from .wordarrays import joined, mix, rolled, slices, words_of
 
 _OUT = "doc_id long, n_words long, phrases long, own_phrases long, longest int, reference_words long, score double"
 
-LENGTHS = np.array([*range(1, 9), *(q << e for e in range(1, 22) for q in (5, 6, 7, 8))], dtype=np.int64)
+#: Lengths that a phrase can have: every one, these and longer ones.
+LENGTHS = np.arange(1, 1 << 12)
 #: Lengths of each phase; the first of a phase is looked for where all of the phase before was found.
-PHASES = [(1, 2), (3, 4), (5, 6, 7, 8), tuple(n for n in LENGTHS.tolist() if 8 < n <= 64), tuple(n for n in LENGTHS.tolist() if n > 64)]
-_PACK = "batch long, bucket int, bits binary, tids binary, meta binary, words binary, ids binary, level binary"
+PHASES = [(1, 2), (3, 4), (5, 6, 7, 8)]
+SHORT = PHASES[-1][-1]
+#: Places and ends of a grid that a round asks for, where a passage as a whole isn't shared.
+GRID = 4
+_PACK = "batch long, tids binary, meta binary, words binary, ids binary"
+_LEVELS = "batch long, file string, bucket int, bits binary, level binary"
+_PASSAGES = "batch long, file string, bucket int, at binary, low binary, high binary, left long"
 
 
 class SuffixAutomaton:
@@ -266,32 +277,107 @@ def _pack(size: int):
             meta[:, 0], meta[:, 1] = counts, rows.column("copies").to_numpy(zero_copy_only=False)
             for i, (a, b) in enumerate(zip(w.first.tolist(), w.first[1:].tolist())):
                 meta[i, 2] = own_phrases(ids[a:b].tolist(), len(known))
-            made = [b"".join(bytes.fromhex(t) for t in rows.column("tid").to_pylist()), meta.tobytes(), known.tobytes(), _planes(ids), bytes(len(ids))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | serial], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), *(pa.array([x], pa.binary()) for x in made)],
-                names=["batch", "bucket", "bits", "tids", "meta", "words", "ids", "level"],
-            )
+            made = [b"".join(bytes.fromhex(t) for t in rows.column("tid").to_pylist()), meta.tobytes(), known.tobytes(), _planes(ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | serial], pa.int64()), *(pa.array([x], pa.binary()) for x in made)], names=["batch", "tids", "meta", "words", "ids"])
             serial += 1
 
     return run
 
 
+class _Packs:
+    """Packed batches out of their files; the last file is kept, as rows come by batch."""
+
+    def __init__(self) -> None:
+        self.file = None
+
+    def __call__(self, row: dict) -> dict:
+        if row["file"] != self.file:
+            self.file = row["file"]
+            self.table = pa.parquet.read_table(self.file.removeprefix("file:"), use_threads=False)
+            self.at = {b: i for i, b in enumerate(self.table.column("batch").to_pylist())}
+        return self.table.slice(self.at[row["batch"]], 1).to_pylist()[0]
+
+
+def _texts(pack: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(words, copies, own phrases) of a batch's texts, and where each starts."""
+    meta = np.frombuffer(pack["meta"], dtype=np.int64).reshape(-1, 3)
+    return meta, np.concatenate([[0], np.cumsum(meta[:, 0])])
+
+
+def _edges(runs: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's runs start."""
+    limits = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(runs, limits), [len(runs)]])
+
+
+def _distinct_runs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts g, where each distinct hash starts in it, and the number of the distinct hash of each g."""
+    order = _order(g)
+    s = g[order]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = s[1:] != s[:-1]
+    which = np.empty(len(g), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), which
+
+
+def _of_two(low: np.ndarray, high: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether the first and last texts of a distinct hash differ."""
+    return np.minimum.reduceat(low[order], start) != np.maximum.reduceat(high[order], start) if len(start) else np.zeros(0, dtype=bool)
+
+
+def _sent(batch: int, runs: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    edges = _edges(runs, buckets)
+    full = np.flatnonzero(np.diff(edges))
+    if len(full):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), batch)), pa.array([_planes(np.diff(runs[edges[k] : edges[k + 1]], prepend=np.uint64(0))) for k in full.tolist()], pa.binary())], names=["bucket", "batch", "runs"]
+        )
+
+
+def _with_answers(shared: np.ndarray, edges: np.ndarray, answers: list[dict]) -> np.ndarray:
+    shared = shared.copy()
+    for x in answers:
+        k = x["bucket"]
+        n = int(edges[k + 1] - edges[k])
+        shared[edges[k] : edges[k + 1]] |= np.unpackbits(np.frombuffer(x["bits"], dtype=np.uint8), count=n).astype(bool)
+    return shared
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows come by batch, those of no bucket first."""
+    held: list[dict] = []
+    for rows in batches:
+        for row in rows.to_pylist():
+            if held and held[-1]["batch"] != row["batch"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _row(schema: str, **values: object) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([values.get(n)], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
+
+
 class _Batch:
     """A packed batch and the distinct runs of words that a phase looks up."""
 
-    def __init__(self, row: dict):
-        self.row = row
-        self.meta = np.frombuffer(row["meta"], dtype=np.int64).reshape(-1, 3)
-        self.first = np.concatenate([[0], np.cumsum(self.meta[:, 0])])
-        self.level = np.frombuffer(row["level"], dtype=np.uint8).copy()
+    def __init__(self, row: dict, pack: dict):
+        self.row, self.pack = row, pack
+        self.meta, self.first = _texts(pack)
+        self.level = np.frombuffer(row["level"], dtype=np.uint8).copy() if row["level"] else np.zeros(self.first[-1], dtype=np.uint8)
 
     def look_up(self, phase: int) -> None:
         """runs: sorted distinct hashes; shared: those of two texts here; which: the run of each (place, length).
 
         Single words are looked up once each: their place is the number of the word, after all places.
         """
-        self.ids = _from_planes(self.row["ids"], np.uint32)
-        known = np.frombuffer(self.row["words"], dtype=np.uint64)
+        self.ids = _from_planes(self.pack["ids"], np.uint32)
+        known = np.frombuffer(self.pack["words"], dtype=np.uint64)
         h, n = known[self.ids], len(self.ids)
         place = np.arange(n)
         text = np.repeat(np.arange(len(self.meta)), self.meta[:, 0])
@@ -308,13 +394,13 @@ class _Batch:
                 high.append(last)
         else:
             base = PHASES[phase - 1][-1]
-            found = self.level >= np.searchsorted(LENGTHS, base) + 1
+            found = self.level >= base
             after = np.minimum.accumulate(np.where(found, n, place)[::-1])[::-1]  # the next place where it ends
             reach = np.where(found, after - place + base - 1, 0)
             edge = np.zeros(n + base, dtype=np.int32)
             at = np.flatnonzero(found)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + base, -1)
+            edge[at] += 1
+            edge[at + base] -= 1
             place = np.flatnonzero(np.cumsum(edge[:n]))  # words of passages that go on
             h, reach = h[place], reach[place]
         for length in PHASES[phase]:
@@ -323,28 +409,14 @@ class _Batch:
                 break
             hashes.append(rolled(h, length)[at])
             places.append(place[at])
-            levels.append(np.full(len(at), np.searchsorted(LENGTHS, length) + 1, dtype=np.uint8))
+            levels.append(np.full(len(at), length, dtype=np.uint8))
             low.append(text[place[at]])
             high.append(low[-1])
         none = np.zeros(0, np.int64)
         g, self.places, self.levels, lows, highs = (np.concatenate(x) if x else none.astype(t) for x, t in ((hashes, np.uint64), (places, np.int64), (levels, np.uint8), (low, np.int64), (high, np.int64)))
-        order = _order(g)
-        g = g[order]
-        new = np.ones(len(g), dtype=bool)
-        new[1:] = g[1:] != g[:-1]
-        start = np.flatnonzero(new)
-        self.runs = g[start]
-        self.which = np.empty(len(g), dtype=np.int64)
-        self.which[order] = np.cumsum(new) - 1
-        if len(start):
-            self.shared = np.minimum.reduceat(lows[order], start) != np.maximum.reduceat(highs[order], start)
-        else:
-            self.shared = np.zeros(0, dtype=bool)
-
-    def edges(self, buckets: int) -> np.ndarray:
-        """Where each bucket's runs start."""
-        limits = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.runs, limits), [len(self.runs)]])
+        order, start, self.which = _distinct_runs(g)
+        self.runs = g[order[start]]
+        self.shared = _of_two(lows, highs, order, start)
 
     def raise_levels(self, shared: np.ndarray) -> None:
         hit = shared[self.which]
@@ -361,16 +433,12 @@ class _Batch:
 
 def _send(phase: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = _Packs()
         for rows in batches:
-            for i in range(rows.num_rows):
-                b = _Batch(rows.slice(i, 1).to_pylist()[0])
+            for row in rows.to_pylist():
+                b = _Batch(row, packs(row))
                 b.look_up(phase)
-                edges = b.edges(buckets)
-                full = np.flatnonzero(np.diff(edges))
-                if len(full):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), b.row["batch"])), pa.array([_planes(np.diff(b.runs[edges[k] : edges[k + 1]], prepend=np.uint64(0))) for k in full.tolist()], pa.binary())], names=["bucket", "batch", "runs"]
-                    )
+                yield from _sent(row["batch"], b.runs, buckets)
 
     return run
 
@@ -406,59 +474,232 @@ def _meet(buckets: int):
 
 
 def _settle(phase: int, buckets: int):
-    """Rows come by batch, the batch itself before its answers."""
-
-    def settled(row: dict, answers: dict[int, bytes]) -> pa.RecordBatch:
-        b = _Batch(row)
-        b.look_up(phase)
-        edges, shared = b.edges(buckets), b.shared.copy()
-        for k, bits in answers.items():
-            n = int(edges[k + 1] - edges[k])
-            shared[edges[k] : edges[k + 1]] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=n).astype(bool)
-        b.raise_levels(shared)
-        out = row | {"bits": None, "level": b.level.tobytes()}
-        kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 6
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(out.values(), kinds)], names=list(out))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = _Packs()
+        for row, *answers in _grouped(batches):
+            b = _Batch(row, packs(row))
+            b.look_up(phase)
+            b.raise_levels(_with_answers(b.shared, _edges(b.runs, buckets), answers))
+            yield _row(_LEVELS, batch=row["batch"], file=row["file"], bucket=-1, level=b.level.tobytes())
 
+    return run
+
+
+class _Passages:
+    """Places of a batch where runs of SHORT words are shared; low, high: bounds of where the longest match from each ends."""
+
+    def __init__(self, row: dict, pack: dict):
+        self.row = row
+        self.at = np.cumsum(_from_planes(row["at"], np.uint32), dtype=np.int64)
+        self.low = self.at + _from_planes(row["low"], np.uint32)
+        self.high = self.low + _from_planes(row["high"], np.uint32)
+        meta, first = _texts(pack)
+        self.text = np.searchsorted(first, self.at, side="right") - 1
+        self.copied = meta[self.text, 1] != 0
+        new = np.diff(self.at, prepend=-2) > 1
+        self.passage = np.cumsum(new) - 1
+        start = self.at[new]
+        size = self.at[np.append(np.flatnonzero(new)[1:], len(new)) - 1] + SHORT - start
+        offset = np.cumsum(size) - size
+        self.place = self.at + (offset - start)[self.passage]  # among the words of all passages
+        ids = _from_planes(pack["ids"], np.uint32)[np.repeat(start - offset, size) + np.arange(size.sum())]
+        self.joins = [np.frombuffer(pack["words"], dtype=np.uint64)[ids]]
+
+    def hashes(self, index: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of as many words from at[index], as ``rolled`` puts them together."""
+        out, have = np.zeros(len(index), dtype=np.uint64), np.zeros(len(index), dtype=np.int64)
+        for e in range(int(length.max(initial=0)).bit_length()):
+            if e == len(self.joins):
+                self.joins.append(joined(self.joins[-1][: -(1 << e - 1)], self.joins[-1][1 << e - 1 :]))
+            at = np.flatnonzero(length >> e & 1)
+            piece = self.joins[e][self.place[index[at]] + length[at] - have[at] - (1 << e)]
+            out[at] = np.where(have[at] > 0, joined(piece, out[at]), piece)
+            have[at] += 1 << e
+        return mix(out)
+
+    def present(self) -> None:
+        """starts: sorted distinct hashes of SHORT words that a longer match may start with; holders: all their places."""
+        self.holders = np.flatnonzero(self.high - self.at > SHORT)
+        g = self.hashes(self.holders, np.full(len(self.holders), SHORT))
+        self.order, self.first, self.which = _distinct_runs(g)
+        self.starts = g[self.order[self.first]]
+
+    def open(self) -> np.ndarray:
+        return np.flatnonzero((self.low < self.high) & ~self.copied)
+
+    def asks(self, grid: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and lengths to ask for: of each group of open places with like bounds, its first one and its end at least."""
+        o = self.open()
+        new = np.ones(len(o), dtype=bool)
+        new[1:] = (np.diff(o) > 1) | (np.diff(self.passage[o]) > 0) | (np.diff(self.high[o]) > 0) | (np.diff(self.low[o]) > 1)
+        start = np.flatnonzero(new)
+        width = np.diff(np.append(start, len(o)))
+        high = self.high[o[start]]
+        room = high - self.low[o[start]]
+        across, down = np.minimum(grid, width), np.minimum(grid, room)
+        index, ends = [o[:0]], [high[:0]]
+        for i in range(grid):
+            for j in range(grid):
+                k = np.flatnonzero((i < across) & (j < down))
+                at = o[start[k] + i * (width[k] - 1) // np.maximum(across[k] - 1, 1)]
+                end = high[k] - j * room[k] // down[k]
+                index.append(at[end > self.low[at]])
+                ends.append(end[end > self.low[at]])
+        index = np.concatenate(index)
+        return index, np.concatenate(ends) - self.at[index]
+
+    def supply(self, buckets: int, asked: list[dict]) -> None:
+        """The runs of all lengths asked for, at all places where they may be shared; runs, shared, which as in a batch."""
+        edges = _edges(self.starts, buckets)
+        none = np.zeros(0, dtype=np.int64)
+        run = np.concatenate([none, *(_from_planes(x["index"], np.uint32) + edges[x["bucket"]] for x in asked)])
+        length = np.concatenate([none, *(_from_planes(x["lengths"], np.uint32).astype(np.int64) for x in asked)])
+        often = np.diff(np.append(self.first, len(self.order)))[run]
+        index = self.holders[self.order[np.repeat(self.first[run] - np.cumsum(often) + often, often) + np.arange(often.sum())]]
+        length = np.repeat(length, often)
+        fits = self.at[index] + length <= self.high[index]
+        self.index, self.length = index[fits], length[fits]
+        g = self.hashes(self.index, self.length)
+        order, start, self.which = _distinct_runs(g)
+        self.runs = g[order[start]]
+        self.shared = _of_two(self.text[self.index], self.text[self.index], order, start)
+
+    def settle(self, shared: np.ndarray) -> None:
+        hit = shared[self.which]
+        end = self.at[self.index] + self.length
+        np.maximum.at(self.low, self.index[hit], end[hit])
+        np.minimum.at(self.high, self.index[~hit], end[~hit] - 1)
+        self.low = np.maximum.accumulate(self.low)  # later passages end later
+        self.high = np.minimum.accumulate(self.high[::-1])[::-1]
+
+    def packed(self) -> pa.RecordBatch:
+        at, low, high = (_planes(x.astype(np.uint32)) for x in (np.diff(self.at, prepend=0), self.low - self.at, self.high - self.low))
+        return _row(_PASSAGES, batch=self.row["batch"], file=self.row["file"], bucket=-1, at=at, low=low, high=high, left=len(self.open()))
+
+
+def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packs = _Packs()
+    for rows in batches:
+        for row in rows.to_pylist():
+            at = np.flatnonzero(np.frombuffer(row["level"], dtype=np.uint8) == SHORT)
+            if len(at):
+                last = np.append(np.diff(at) > 1, True)
+                end = at[np.flatnonzero(last)[np.cumsum(last) - last]] + SHORT
+                row |= {"at": _planes(np.diff(at, prepend=0).astype(np.uint32)), "low": _planes(np.full(len(at), SHORT, dtype=np.uint32)), "high": _planes((end - at - SHORT).astype(np.uint32))}
+                yield _Passages(row, packs(row)).packed()
+
+
+def _ask(grid: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, answers = None, {}
+        packs = _Packs()
         for rows in batches:
-            for i, bucket in enumerate(rows.column("bucket").to_pylist()):
-                if bucket < 0:
-                    if row is not None:
-                        yield settled(row, answers)
-                    row, answers = rows.slice(i, 1).to_pylist()[0], {}
-                else:
-                    answers[bucket] = rows.column("bits")[i].as_py()
-        if row is not None:
-            yield settled(row, answers)
+            for row in rows.to_pylist():
+                p = _Passages(row, packs(row))
+                p.present()
+                index, lengths = p.asks(grid)
+                run = p.which[np.searchsorted(p.holders, index)]
+                order = np.argsort(run, kind="stable")
+                run, lengths = run[order].astype(np.uint32), lengths[order].astype(np.uint32)
+                edges = _edges(p.starts, buckets)
+                cuts = np.searchsorted(run, edges)
+                for sent in _sent(row["batch"], p.starts, buckets):
+                    full = sent.column("bucket").to_pylist()
+                    made = [[_planes(run[cuts[k] : cuts[k + 1]] - np.uint32(edges[k])) for k in full], [_planes(lengths[cuts[k] : cuts[k + 1]]) for k in full]]
+                    yield pa.RecordBatch.from_arrays([*sent.columns, *(pa.array(x, pa.binary()) for x in made)], names=["bucket", "batch", "runs", "index", "lengths"])
+
+    return run
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket; to each batch, the lengths that any batch asks of the runs it has."""
+
+    def answer(rows: list[tuple[int, int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        runs = [np.cumsum(_from_planes(r, np.uint64), dtype=np.uint64) for _, _, r, _, _ in rows]
+        h = np.concatenate([r[_from_planes(x[3], np.uint32)] for r, x in zip(runs, rows)])
+        m = np.concatenate([_from_planes(x[4], np.uint32) for x in rows])
+        if not len(h):
+            return
+        order = np.lexsort((m, h))
+        h, m = h[order], m[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (m[1:] != m[:-1])
+        h, m = h[new], m[new]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        h, often = h[first], np.diff(np.append(first, len(m)))
+        for g, x in zip(runs, rows):
+            at = np.minimum(np.searchsorted(g, h), len(g) - 1)
+            k = np.flatnonzero(g[at] == h)
+            if len(k):
+                n = often[k]
+                lengths = m[np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                made = [_planes(np.repeat(at[k], n).astype(np.uint32)), _planes(lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[1]], pa.int64()), pa.array([x[0]], pa.int32()), *(pa.array([y], pa.binary()) for y in made)], names=["batch", "bucket", "index", "lengths"])
+
+    held: list[tuple[int, int, bytes, bytes, bytes]] = []
+    for rows in batches:
+        for row in zip(*(rows.column(c).to_pylist() for c in ("bucket", "batch", "runs", "index", "lengths"))):
+            if held and held[-1][0] != row[0]:
+                yield from answer(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from answer(held)
+
+
+def _supply(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = _Packs()
+        for row, *asked in _grouped(batches):
+            if asked:
+                p = _Passages(row, packs(row))
+                p.present()
+                p.supply(buckets, asked)
+                yield from _sent(row["batch"], p.runs, buckets)
+
+    return run
+
+
+def _narrow(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = _Packs()
+        for row, *rest in _grouped(batches):
+            p = _Passages(row, packs(row))
+            if rest:
+                p.present()
+                p.supply(buckets, [x for x in rest if x["bits"] is None])
+                p.settle(_with_answers(p.shared, _edges(p.runs, buckets), [x for x in rest if x["bits"] is not None]))
+            yield p.packed()
 
     return run
 
 
 def _parse(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for i in range(rows.num_rows):
-                b = _Batch(rows.slice(i, 1).to_pylist()[0])
-                step = np.concatenate([[1], LENGTHS])[b.level]
-                out = []
-                for t, (a, (n, copied, c0)) in enumerate(zip(b.first.tolist(), b.meta.tolist())):
-                    if copied:
-                        count, longest = (1 if n else 0), n
-                    else:
-                        steps, p, count, longest = step[a : a + n].tolist(), 0, 0, 0
-                        while p < n:
-                            d = steps[p]
-                            if d > longest:
-                                longest = d
-                            p += d
-                            count += 1
-                    r = total if copied else total - n
-                    out.append((b.row["tids"][16 * t : 16 * t + 16].hex(), n, count, c0, longest, r, _score(n, count, c0, r)))
-                names = ["tid", "n_words", "phrases", "own_phrases", "longest", "reference_words", "score"]
-                kinds = [pa.string()] + [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+        packs = _Packs()
+        for both in _grouped(batches):
+            row = next(x for x in both if x["level"] is not None)
+            b = _Batch(row, packs(row))
+            step = np.maximum(b.level, 1).astype(np.int64)
+            for x in both:
+                if x["at"] is not None:
+                    step[np.cumsum(_from_planes(x["at"], np.uint32), dtype=np.int64)] = _from_planes(x["low"], np.uint32)
+            out = []
+            for t, (a, (n, copied, c0)) in enumerate(zip(b.first.tolist(), b.meta.tolist())):
+                if copied:
+                    count, longest = (1 if n else 0), n
+                else:
+                    steps, p, count, longest = step[a : a + n].tolist(), 0, 0, 0
+                    while p < n:
+                        d = steps[p]
+                        if d > longest:
+                            longest = d
+                        p += d
+                        count += 1
+                r = total if copied else total - n
+                out.append((b.pack["tids"][16 * t : 16 * t + 16].hex(), n, count, c0, longest, r, _score(n, count, c0, r)))
+            names = ["tid", "n_words", "phrases", "own_phrases", "longest", "reference_words", "score"]
+            kinds = [pa.string()] + [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return run
 
@@ -488,21 +729,41 @@ def corpus_parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     packs = materialise(_distinct(docs, id_col, text_col).mapInArrow(_pack(batch), _PACK), "lm-packs")
     release(spark)
-    total = packs.agg(F.sum(F.octet_length("ids") / 4)).first()[0]
-    total = int(total or 0)
+    part = F.shiftrightunsigned("batch", 32).cast("int")
+    total, parts = packs.agg(F.sum(F.octet_length("ids") / 4), F.max(part)).first()
+    total, parts = int(total or 0), 1 + (parts or 0)
     buckets = max(1, math.ceil(total / bucket))
-    for phase in range(len(PHASES)):
-        sent = packs.mapInArrow(_send(phase, buckets), "bucket int, batch long, runs binary")
-        met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(buckets), "batch long, bucket int, bits binary")
-        answers = materialise(met, "lm-answers")
-        release(spark)
-        both = packs.unionByName(answers, allowMissingColumns=True)
-        after = both.repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(_settle(phase, buckets), _PACK)
-        before, packs = packs, materialise(after, f"lm-phase{phase}")
+
+    def by_bucket(df: DataFrame) -> DataFrame:
+        return df.repartition("bucket").sortWithinPartitions("bucket")
+
+    def by_batch(df: DataFrame, *others: DataFrame) -> DataFrame:
+        for x in others:
+            df = df.unionByName(x, allowMissingColumns=True)
+        return df.repartitionById(parts, part).sortWithinPartitions("batch", "bucket")
+
+    def replaced(made: DataFrame, name: str, *before: DataFrame) -> DataFrame:
+        made = materialise(made, name)
         release(spark)
-        discard(before)
-        discard(answers)
-    facts = packs.mapInArrow(_parse(total), _OUT.replace("doc_id long", "tid string"))
+        for x in before:
+            discard(x)
+        return made
+
+    levels = materialise(packs.select("batch", F.col("_metadata.file_path").alias("file"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("bits"), F.lit(b"").alias("level")), "lm-levels")
+    for phase in range(len(PHASES)):
+        sent = by_bucket(levels.mapInArrow(_send(phase, buckets), "bucket int, batch long, runs binary"))
+        answers = replaced(sent.mapInArrow(_meet(buckets), "batch long, bucket int, bits binary"), "lm-answers")
+        levels = replaced(by_batch(levels, answers).mapInArrow(_settle(phase, buckets), _LEVELS), f"lm-phase{phase}", levels, answers)
+    passages = materialise(levels.mapInArrow(_begin, _PASSAGES), "lm-passages")
+    grid, buckets = 1, math.ceil(buckets / 4)
+    while passages.agg(F.sum("left")).first()[0]:
+        sent = by_bucket(passages.mapInArrow(_ask(grid, buckets), "bucket int, batch long, runs binary, index binary, lengths binary"))
+        asked = replaced(sent.mapInArrow(_asked, "batch long, bucket int, index binary, lengths binary"), "lm-asked")
+        sent = by_bucket(by_batch(passages, asked).mapInArrow(_supply(buckets), "bucket int, batch long, runs binary"))
+        answers = replaced(sent.mapInArrow(_meet(buckets), "batch long, bucket int, bits binary"), "lm-answers")
+        passages = replaced(by_batch(passages, asked, answers).mapInArrow(_narrow(buckets), _PASSAGES), "lm-passages", passages, asked, answers)
+        grid = GRID
+    facts = by_batch(levels, passages).mapInArrow(_parse(total), _OUT.replace("doc_id long", "tid string"))
     return _rows(docs, id_col, text_col).select("doc_id", "tid").join(facts, "tid").drop("tid")
 
 

@@ -108,3 +108,21 @@ def test_long_passages_of_the_corpus(spark):
     for batch in (2000, 1 << 20):
         assert {r.doc_id: (r.phrases, r.longest) for r in L.corpus_parse(df, batch=batch, bucket=500).collect()} == want
     assert L.corpus_parse(df.limit(0)).collect() == []
+
+
+def test_matches_of_every_length_in_the_corpus(spark):
+    """Near copies with changes at other places each, prefixes of every length, one word repeated, text that two ids have."""
+    rng = random.Random(21)
+    passage = [f"w{i}" for i in range(90)]
+    texts = [" ".join(passage[:n]) for n in range(7, 40)] + [" ".join(["m"] * n) for n in (9, 13, 30, 31)]
+    for i in range(25):
+        words = [w for w in passage[rng.randint(0, 20) : rng.randint(60, 90)] for _ in range(1 + (rng.random() < 0.02))]
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"x{i}"
+        texts.append(" ".join(words))
+    rows = [(i, t, None, 1) for i, t in enumerate([*texts, texts[-1], texts[-2]])]
+    ids = {t: sum(u == t for _, u, *_ in rows) for t in texts}
+    want = sorted(str((d, *direct(t.encode().split(), [u for u in ids if u != t or ids[u] > 1]))) for d, t, *_ in rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    for batch, bucket in ((300, 200), (1 << 20, 1 << 21)):
+        assert sorted(str(tuple(r)) for r in L.corpus_parse(df, batch=batch, bucket=bucket).collect()) == want
