@@ -22,7 +22,8 @@ looks runs of words up among the runs of all other texts.
   match ends never falls from one place to the next, so it is held between two bounds for every place, and one answer
   settles many places.  A round asks for some runs (place, length): first each passage whole, then a grid of places and
   ends between the bounds.  An asked length goes by the run of 8 it starts with to all places that have this run; they
-  and the asker look their runs of that length up as before.  Rounds go on until no bounds differ.
+  and the asker look their runs of that length up as before.  Rounds go on until no bounds differ, and after the second
+  with no other places than those that start like one with open bounds.
 * A hot word, passage or text is one hash for each batch; buckets are uniform.  Copies of a text are parsed once.
 * Every phase is written to the shared folder, where tasks read packed texts; a lost executor repeats its tasks of one.
 """
@@ -51,10 +52,10 @@ LENGTHS = np.arange(1, 1 << 12)
 PHASES = [(1, 2), (3, 4), (5, 6, 7, 8)]
 SHORT = PHASES[-1][-1]
 #: Places and ends of a grid that a round asks for, where a passage as a whole isn't shared.
-GRID = 4
+GRID = 8
 _PACK = "batch long, tids binary, meta binary, words binary, ids binary"
 _LEVELS = "batch long, file string, bucket int, bits binary, level binary"
-_PASSAGES = "batch long, file string, bucket int, at binary, low binary, high binary, left long"
+_PASSAGES = "batch long, file string, bucket int, at binary, low binary, high binary, left long, words binary, texts binary"
 
 
 class SuffixAutomaton:
@@ -238,14 +239,14 @@ def _from_planes(raw: bytes, dtype: type) -> np.ndarray:
 def _order(keys: np.ndarray) -> np.ndarray:
     """An order that brings equal keys together: a sort of their high bits with the place in the low ones.
 
-    Much faster than a sort of places; where high bits of different keys agree (rare), it is one.
+    Much faster than a sort of places; where high bits of different keys agree (rare), it is one.  Equal keys keep their order.
     """
     bits = np.uint64(max(1, int(len(keys) - 1).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
     s = keys[order]
     if (((s[1:] ^ s[:-1]) <= low) & (s[1:] != s[:-1])).any():
-        return np.argsort(keys)
+        return np.argsort(keys, kind="stable")
     return order
 
 
@@ -321,11 +322,6 @@ def _distinct_runs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), which
 
 
-def _of_two(low: np.ndarray, high: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether the first and last texts of a distinct hash differ."""
-    return np.minimum.reduceat(low[order], start) != np.maximum.reduceat(high[order], start) if len(start) else np.zeros(0, dtype=bool)
-
-
 def _sent(batch: int, runs: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     edges = _edges(runs, buckets)
     full = np.flatnonzero(np.diff(edges))
@@ -372,26 +368,22 @@ class _Batch:
         self.level = np.frombuffer(row["level"], dtype=np.uint8).copy() if row["level"] else np.zeros(self.first[-1], dtype=np.uint8)
 
     def look_up(self, phase: int) -> None:
-        """runs: sorted distinct hashes; shared: those of two texts here; which: the run of each (place, length).
+        """hashes: of each run; parts: (length, places, first text, last text) of those of each length in turn.
 
-        Single words are looked up once each: their place is the number of the word, after all places.
+        Single words are looked up once each: their place is the number of the word.
         """
         self.ids = _from_planes(self.pack["ids"], np.uint32)
         known = np.frombuffer(self.pack["words"], dtype=np.uint64)
         h, n = known[self.ids], len(self.ids)
         place = np.arange(n)
-        text = np.repeat(np.arange(len(self.meta)), self.meta[:, 0])
-        hashes, places, levels, low, high = [], [], [], [], []
+        text = np.repeat(np.arange(len(self.meta), dtype=np.int32), self.meta[:, 0])
+        hashes, self.parts = [np.zeros(0, dtype=np.uint64)], []
         if phase == 0:
             reach = self.first[text + 1] - place
-            if len(known):
-                first, last = np.zeros((2, len(known)), dtype=np.int64)
-                last[self.ids], first[self.ids[::-1]] = text, text[::-1]
-                hashes.append(rolled(known, 1))
-                places.append(n + np.arange(len(known)))
-                levels.append(np.ones(len(known), dtype=np.uint8))
-                low.append(first)
-                high.append(last)
+            first, last = np.zeros((2, len(known)), dtype=np.int32)
+            last[self.ids], first[self.ids[::-1]] = text, text[::-1]
+            hashes.append(rolled(known, 1))
+            self.parts.append((1, np.arange(len(known)), first, last))
         else:
             base = PHASES[phase - 1][-1]
             found = self.level >= base
@@ -405,30 +397,36 @@ class _Batch:
             h, reach = h[place], reach[place]
         for length in PHASES[phase]:
             at = np.flatnonzero(reach >= length) if length > 1 else place[:0]
-            if length > 1 and not len(at):
-                break
-            hashes.append(rolled(h, length)[at])
-            places.append(place[at])
-            levels.append(np.full(len(at), length, dtype=np.uint8))
-            low.append(text[place[at]])
-            high.append(low[-1])
-        none = np.zeros(0, np.int64)
-        g, self.places, self.levels, lows, highs = (np.concatenate(x) if x else none.astype(t) for x, t in ((hashes, np.uint64), (places, np.int64), (levels, np.uint8), (low, np.int64), (high, np.int64)))
-        order, start, self.which = _distinct_runs(g)
-        self.runs = g[order[start]]
-        self.shared = _of_two(lows, highs, order, start)
-
-    def raise_levels(self, shared: np.ndarray) -> None:
-        hit = shared[self.which]
-        places, levels, n = self.places[hit], self.levels[hit], len(self.level)
-        words = places[places >= n] - n
-        if len(words):
-            found = np.zeros(int(self.ids.max()) + 1, dtype=np.uint8)
-            found[words] = 1
-            np.maximum(self.level, found[self.ids], out=self.level)
-        for level in np.unique(levels):  # in rising order
-            at = places[(levels == level) & (places < n)]
-            self.level[at] = level
+            if length > 1 and len(at):
+                hashes.append(rolled(h, length)[at])
+                self.parts.append((length, place[at], text[place[at]], text[place[at]]))
+        self.hashes = np.concatenate(hashes)
+
+    def runs(self) -> np.ndarray:
+        """Sorted distinct hashes."""
+        g = np.sort(self.hashes)
+        return g[np.append(True, g[1:] != g[:-1])[: len(g)]]
+
+    def settle(self, buckets: int, answers: list[dict]) -> None:
+        if not len(self.hashes):
+            return
+        order = _order(self.hashes)
+        g = self.hashes[order]
+        new = np.append(True, g[1:] != g[:-1])
+        start = np.flatnonzero(new)
+        low, high = (np.concatenate([x[k] for x in self.parts]) for k in (2, 3))
+        shared = low[order[start]] != high[order[np.append(start[1:], len(g)) - 1]]  # places rise within a run
+        shared = _with_answers(shared, _edges(g[start], buckets), answers)
+        hit = np.empty(len(g), dtype=bool)
+        hit[order] = np.repeat(shared, np.diff(np.append(start, len(g))))
+        at = 0
+        for length, places, _, _ in self.parts:  # in rising order
+            found = hit[at : at + len(places)]
+            if length == 1:
+                np.maximum(self.level, found.view(np.uint8)[self.ids], out=self.level)
+            else:
+                self.level[places[found]] = length
+            at += len(places)
 
 
 def _send(phase: int, buckets: int):
@@ -438,7 +436,7 @@ def _send(phase: int, buckets: int):
             for row in rows.to_pylist():
                 b = _Batch(row, packs(row))
                 b.look_up(phase)
-                yield from _sent(row["batch"], b.runs, buckets)
+                yield from _sent(row["batch"], b.runs(), buckets)
 
     return run
 
@@ -479,7 +477,7 @@ def _settle(phase: int, buckets: int):
         for row, *answers in _grouped(batches):
             b = _Batch(row, packs(row))
             b.look_up(phase)
-            b.raise_levels(_with_answers(b.shared, _edges(b.runs, buckets), answers))
+            b.settle(buckets, answers)
             yield _row(_LEVELS, batch=row["batch"], file=row["file"], bucket=-1, level=b.level.tobytes())
 
     return run
@@ -488,22 +486,31 @@ def _settle(phase: int, buckets: int):
 class _Passages:
     """Places of a batch where runs of SHORT words are shared; low, high: bounds of where the longest match from each ends."""
 
-    def __init__(self, row: dict, pack: dict):
+    def __init__(self, row: dict, packs: _Packs):
         self.row = row
         self.at = np.cumsum(_from_planes(row["at"], np.uint32), dtype=np.int64)
         self.low = self.at + _from_planes(row["low"], np.uint32)
         self.high = self.low + _from_planes(row["high"], np.uint32)
-        meta, first = _texts(pack)
-        self.text = np.searchsorted(first, self.at, side="right") - 1
-        self.copied = meta[self.text, 1] != 0
-        new = np.diff(self.at, prepend=-2) > 1
-        self.passage = np.cumsum(new) - 1
-        start = self.at[new]
-        size = self.at[np.append(np.flatnonzero(new)[1:], len(new)) - 1] + SHORT - start
+        start, size = self.spans(np.arange(len(self.at)))
         offset = np.cumsum(size) - size
-        self.place = self.at + (offset - start)[self.passage]  # among the words of all passages
-        ids = _from_planes(pack["ids"], np.uint32)[np.repeat(start - offset, size) + np.arange(size.sum())]
-        self.joins = [np.frombuffer(pack["words"], dtype=np.uint64)[ids]]
+        self.place = self.at + (offset - start)[np.searchsorted(start, self.at, side="right") - 1]  # among the words of all
+        if row["words"] is None:
+            pack = packs(row)
+            meta, first = _texts(pack)
+            self.text = np.searchsorted(first, self.at, side="right") - 1
+            self.copied = meta[self.text, 1] != 0
+            ids = _from_planes(pack["ids"], np.uint32)[np.repeat(start - offset, size) + np.arange(size.sum())]
+            words = np.frombuffer(pack["words"], dtype=np.uint64)[ids]
+        else:
+            words, text = np.frombuffer(row["words"], dtype=np.uint64), _from_planes(row["texts"], np.uint32)
+            self.text, self.copied = text >> 1, (text & 1) != 0
+        self.joins = [words]
+
+    def spans(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the stretches of words that matches from these places may have."""
+        at, high = self.at[index], self.high[index]  # both never fall
+        first = np.flatnonzero(np.append(True, at[1:] >= high[:-1])[: len(at)])
+        return at[first], high[np.append(first[1:], len(at)) - 1] - at[first] if len(at) else high
 
     def hashes(self, index: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Of as many words from at[index], as ``rolled`` puts them together."""
@@ -531,7 +538,7 @@ class _Passages:
         """Places and lengths to ask for: of each group of open places with like bounds, its first one and its end at least."""
         o = self.open()
         new = np.ones(len(o), dtype=bool)
-        new[1:] = (np.diff(o) > 1) | (np.diff(self.passage[o]) > 0) | (np.diff(self.high[o]) > 0) | (np.diff(self.low[o]) > 1)
+        new[1:] = (np.diff(o) > 1) | (np.diff(self.high[o]) > 0) | (np.diff(self.low[o]) > 1)
         start = np.flatnonzero(new)
         width = np.diff(np.append(start, len(o)))
         high = self.high[o[start]]
@@ -549,11 +556,15 @@ class _Passages:
         return index, np.concatenate(ends) - self.at[index]
 
     def supply(self, buckets: int, asked: list[dict]) -> None:
-        """The runs of all lengths asked for, at all places where they may be shared; runs, shared, which as in a batch."""
+        """The runs of all lengths asked for, at all places where they may be shared; marked: holders that some open place may match."""
         edges = _edges(self.starts, buckets)
         none = np.zeros(0, dtype=np.int64)
         run = np.concatenate([none, *(_from_planes(x["index"], np.uint32) + edges[x["bucket"]] for x in asked)])
         length = np.concatenate([none, *(_from_planes(x["lengths"], np.uint32).astype(np.int64) for x in asked)])
+        marked = np.zeros(len(self.starts), dtype=bool)
+        marked[run[length == 0]] = True
+        self.marked = self.holders[marked[self.which]]
+        run, length = run[length > 0], length[length > 0]
         often = np.diff(np.append(self.first, len(self.order)))[run]
         index = self.holders[self.order[np.repeat(self.first[run] - np.cumsum(often) + often, often) + np.arange(often.sum())]]
         length = np.repeat(length, often)
@@ -562,7 +573,8 @@ class _Passages:
         g = self.hashes(self.index, self.length)
         order, start, self.which = _distinct_runs(g)
         self.runs = g[order[start]]
-        self.shared = _of_two(self.text[self.index], self.text[self.index], order, start)
+        text = self.text[self.index][order]
+        self.shared = np.minimum.reduceat(text, start) != np.maximum.reduceat(text, start) if len(start) else np.zeros(0, dtype=bool)
 
     def settle(self, shared: np.ndarray) -> None:
         hit = shared[self.which]
@@ -572,9 +584,20 @@ class _Passages:
         self.low = np.maximum.accumulate(self.low)  # later passages end later
         self.high = np.minimum.accumulate(self.high[::-1])[::-1]
 
-    def packed(self) -> pa.RecordBatch:
-        at, low, high = (_planes(x.astype(np.uint32)) for x in (np.diff(self.at, prepend=0), self.low - self.at, self.high - self.low))
-        return _row(_PASSAGES, batch=self.row["batch"], file=self.row["file"], bucket=-1, at=at, low=low, high=high, left=len(self.open()))
+    def packed(self, index: np.ndarray | None = None, bucket: int = -1) -> Iterator[pa.RecordBatch]:
+        """All places, or those of index with their words; -2 as the bucket: with nothing but where matches end."""
+        k = np.arange(len(self.at)) if index is None else index
+        if len(k):
+            at, low, high = (_planes(x.astype(np.uint32)) for x in (np.diff(self.at[k], prepend=0), (self.low - self.at)[k], (self.high - self.low)[k]))
+            words = texts = None
+            if bucket == -2:
+                high = None
+            elif index is not None:
+                start, size = self.spans(k)
+                base = self.place[k][np.searchsorted(self.at[k], start)]
+                words = self.joins[0][np.repeat(base - np.cumsum(size) + size, size) + np.arange(size.sum())].tobytes()
+                texts = _planes((self.text * 2 + self.copied)[k].astype(np.uint32))
+            yield _row(_PASSAGES, batch=self.row["batch"], file=self.row["file"], bucket=bucket, at=at, low=low, high=high, left=int(((self.low < self.high) & ~self.copied)[k].sum()), words=words, texts=texts)
 
 
 def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -585,8 +608,8 @@ def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(at):
                 last = np.append(np.diff(at) > 1, True)
                 end = at[np.flatnonzero(last)[np.cumsum(last) - last]] + SHORT
-                row |= {"at": _planes(np.diff(at, prepend=0).astype(np.uint32)), "low": _planes(np.full(len(at), SHORT, dtype=np.uint32)), "high": _planes((end - at - SHORT).astype(np.uint32))}
-                yield _Passages(row, packs(row)).packed()
+                row |= {"at": _planes(np.diff(at, prepend=0).astype(np.uint32)), "low": _planes(np.full(len(at), SHORT, dtype=np.uint32)), "high": _planes((end - at - SHORT).astype(np.uint32)), "words": None}
+                yield from _Passages(row, packs).packed()
 
 
 def _ask(grid: int, buckets: int):
@@ -594,9 +617,11 @@ def _ask(grid: int, buckets: int):
         packs = _Packs()
         for rows in batches:
             for row in rows.to_pylist():
-                p = _Passages(row, packs(row))
+                p = _Passages(row, packs)
                 p.present()
                 index, lengths = p.asks(grid)
+                if grid > 1:  # a length of 0 marks the places that are of use to the open ones
+                    index, lengths = np.append(index, p.open()), np.append(lengths, np.zeros(len(p.open()), dtype=np.int64))
                 run = p.which[np.searchsorted(p.holders, index)]
                 order = np.argsort(run, kind="stable")
                 run, lengths = run[order].astype(np.uint32), lengths[order].astype(np.uint32)
@@ -651,7 +676,7 @@ def _supply(buckets: int):
         packs = _Packs()
         for row, *asked in _grouped(batches):
             if asked:
-                p = _Passages(row, packs(row))
+                p = _Passages(row, packs)
                 p.present()
                 p.supply(buckets, asked)
                 yield from _sent(row["batch"], p.runs, buckets)
@@ -659,16 +684,22 @@ def _supply(buckets: int):
     return run
 
 
-def _narrow(buckets: int):
+def _narrow(grid: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs = _Packs()
         for row, *rest in _grouped(batches):
-            p = _Passages(row, packs(row))
+            p = _Passages(row, packs)
+            keep = np.zeros(len(p.at), dtype=bool)
             if rest:
                 p.present()
                 p.supply(buckets, [x for x in rest if x["bits"] is None])
                 p.settle(_with_answers(p.shared, _edges(p.runs, buckets), [x for x in rest if x["bits"] is not None]))
-            yield p.packed()
+                keep[p.marked] = True
+            if grid > 1:
+                yield from p.packed(np.flatnonzero(keep))
+                yield from p.packed(np.flatnonzero(~keep), -2)
+            else:
+                yield from p.packed()
 
     return run
 
@@ -755,15 +786,19 @@ def corpus_parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         answers = replaced(sent.mapInArrow(_meet(buckets), "batch long, bucket int, bits binary"), "lm-answers")
         levels = replaced(by_batch(levels, answers).mapInArrow(_settle(phase, buckets), _LEVELS), f"lm-phase{phase}", levels, answers)
     passages = materialise(levels.mapInArrow(_begin, _PASSAGES), "lm-passages")
-    grid, buckets = 1, math.ceil(buckets / 4)
+    grid, buckets, done = 1, math.ceil(buckets / 4), []
     while passages.agg(F.sum("left")).first()[0]:
         sent = by_bucket(passages.mapInArrow(_ask(grid, buckets), "bucket int, batch long, runs binary, index binary, lengths binary"))
         asked = replaced(sent.mapInArrow(_asked, "batch long, bucket int, index binary, lengths binary"), "lm-asked")
         sent = by_bucket(by_batch(passages, asked).mapInArrow(_supply(buckets), "bucket int, batch long, runs binary"))
         answers = replaced(sent.mapInArrow(_meet(buckets), "batch long, bucket int, bits binary"), "lm-answers")
-        passages = replaced(by_batch(passages, asked, answers).mapInArrow(_narrow(buckets), _PASSAGES), "lm-passages", passages, asked, answers)
-        grid = GRID
-    facts = by_batch(levels, passages).mapInArrow(_parse(total), _OUT.replace("doc_id long", "tid string"))
+        after = replaced(by_batch(passages, asked, answers).mapInArrow(_narrow(grid, buckets), _PASSAGES), "lm-passages", asked, answers)
+        if grid == 1:
+            discard(passages)
+        else:
+            done.append(after.filter("bucket = -2"))
+        passages, grid = after.filter("bucket = -1"), GRID
+    facts = by_batch(levels, passages, *done).mapInArrow(_parse(total), _OUT.replace("doc_id long", "tid string"))
     return _rows(docs, id_col, text_col).select("doc_id", "tid").join(facts, "tid").drop("tid")
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from quillspark.llm import lm_scoring as L
@@ -126,3 +127,26 @@ def test_matches_of_every_length_in_the_corpus(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(2)
     for batch, bucket in ((300, 200), (1 << 20, 1 << 21)):
         assert sorted(str(tuple(r)) for r in L.corpus_parse(df, batch=batch, bucket=bucket).collect()) == want
+
+
+def test_later_rounds_keep_few_words():
+    """Places that are kept have the same hashes and bounds as before, out of no more words than they reach."""
+    rng = random.Random(4)
+    words = np.array([rng.getrandbits(64) for _ in range(500)], dtype=np.uint64)
+    meta = np.array([[300, 0, 1], [0, 0, 1], [200, 2, 1]], dtype=np.int64)
+    at = np.array([*range(5, 60), *range(64, 90), *range(292 - 40, 292), *range(300, 330), *range(400, 492)])
+    last = np.append(np.diff(at) > 1, True)
+    high = at[np.flatnonzero(last)[np.cumsum(last) - last]] + L.SHORT
+    row = {"batch": 1, "file": "f", "at": L._planes(np.diff(at, prepend=0).astype(np.uint32)), "low": L._planes(np.full(len(at), L.SHORT, dtype=np.uint32)), "high": L._planes((high - at - L.SHORT).astype(np.uint32)), "words": None}
+    pack = {"meta": meta.tobytes(), "words": words.tobytes(), "ids": L._planes(np.arange(500, dtype=np.uint32))}
+    p = L._Passages(row, lambda _: pack)
+    whole = L.rolled(words, 11)
+    k = np.flatnonzero(p.high - p.at >= 11)
+    assert (p.hashes(k, np.full(len(k), 11)) == whole[p.at[k]]).all()
+    for _ in range(20):
+        keep = np.array(sorted(rng.sample(k.tolist(), rng.randint(1, 30))))
+        q = L._Passages(next(p.packed(keep)).to_pylist()[0], None)
+        for name in ("at", "low", "high", "text", "copied"):
+            assert (getattr(q, name) == getattr(p, name)[keep]).all()
+        assert (q.hashes(np.arange(len(keep)), np.full(len(keep), 11)) == whole[q.at]).all()
+        assert len(q.joins[0]) == len({w for a, b in zip(q.at, q.high) for w in range(a, b)})
