@@ -103,13 +103,6 @@ def simhash64(spark, sf_dir):
 
 @query(_SIMHASH + ", d AS (SELECT DISTINCT u::UBIGINT AS u FROM s) SELECT bit_count(xor(a.u, b.u))::INT AS distance, count(*) AS pairs FROM d a JOIN d b ON a.u < b.u AND bit_count(xor(a.u, b.u)) <= 5 GROUP BY 1")
 def hamming_pairs(spark, sf_dir):
-    """Pairs of distinct hashes within 5 bits, by distance; equal in one of six bands, counted in the first."""
-    d = _hashes(spark, sf_dir).select("simhash").distinct()
-    edges = [0, 11, 22, 33, 43, 54, 64]
-    part = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << edges[i + 1] - edges[i]) - 1))
-    banded = d.select("simhash", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), part(F.col("simhash"), i).alias("v")) for i in range(6)))).alias("band"))
-    a, b = banded.alias("a"), banded.alias("b")
-    x, y = F.col("a.simhash"), F.col("b.simhash")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (x < y)).filter(text.hamming(x, y) <= 5)
-    first = F.array_position(F.array(*(part(x, i) == part(y, i) for i in range(6))), True)
-    return pairs.filter(first == F.col("a.band.i") + 1).groupBy(text.hamming(x, y).alias("distance")).agg(F.count(F.lit(1)).alias("pairs"))
+    """Pairs of distinct hashes within 5 bits, by distance; a text without bigrams has no hash here."""
+    docs = table(spark, sf_dir, "documents").filter(F.length(F.lower("text")) >= 2)
+    return dedup.pairs_within(docs.select(dedup.simhash_of(F.col("text")).alias("simhash")))

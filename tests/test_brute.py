@@ -384,3 +384,28 @@ def test_leaders_of_a_hot_group(spark):
     for _ in range(6000):
         index.find(make(25))
     assert time.process_time() - began < 60  # the plain rule took 254 s for a host of 3,119 distinct titles
+
+
+def test_hamming_pairs_of_alike_hashes(spark, tmp_path):
+    """Hashes that agree in most bits: six bands made groups of nearly all of them."""
+    import random
+
+    rnd = random.Random(3)
+    hashes = sorted({sum(rnd.getrandbits(1) << b for b in range(0, 64, 5)) - (1 << 63) for _ in range(700)})
+    want = {}
+    for k, a in enumerate(hashes):
+        for b in hashes[:k]:
+            n = (a ^ b).bit_count()
+            if n <= 5:
+                want[n] = want.get(n, 0) + 1
+    df = spark.createDataFrame([(h,) for h in hashes * 2], "simhash long")
+    assert {r.distance: r.pairs for r in dedup.pairs_within(df).collect()} == want
+    # texts without bigrams aren't in the SQL; they counted as hash 0 before
+    texts = ["", "x", None, *("ab cd ef gh"[i:] for i in range(9))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = plans.QUERIES["hamming_pairs"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(plans.ORACLE_SQL["hamming_pairs"]).fetchall())
