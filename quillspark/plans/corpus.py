@@ -29,7 +29,7 @@ def _weights(spark, sf_dir):
 def _scores(spark, sf_dir):
     requests = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     wanted, docs = tfidf.query_terms(requests), table(spark, sf_dir, "documents")
-    counts = tfidf.term_counts(docs, "doc_id", (F.col("text"), 1), only=wanted)  # idf is of these terms only, too
+    counts = tfidf.matches(docs, "doc_id", wanted, (F.col("text"), 1))  # idf is of these terms only, too
     return tfidf.scores(counts, tfidf.inverse_frequency(counts, docs), wanted)
 
 
@@ -63,7 +63,9 @@ def inverted_index(spark, sf_dir):
 @query(f"WITH {_TF}, {_Q} SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM q JOIN tf USING (term) GROUP BY item_id")
 def index_lookup(spark, sf_dir):
     wanted = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    return _counts(spark, sf_dir).join(wanted, "term").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+    counts = tfidf.matches(table(spark, sf_dir, "documents"), "doc_id", wanted, (F.col("text"), 1))
+    found = counts.filter("doc_id IS NOT NULL").join(F.broadcast(wanted), "term").select("item_id", "doc_id").distinct()
+    return found.groupBy("item_id").agg(F.count("doc_id").alias("n_docs"))
 
 
 @query(f"WITH {_TF}, {_IDF}, {_Q}, {_S} SELECT query_id, doc_id, round(score, 4) AS score FROM s")

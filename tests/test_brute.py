@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark import plans
 from quillspark.functions import cards, dicts, requests, text
-from quillspark.operators import dedup, state
+from quillspark.operators import dedup, state, tfidf
 from quillspark.plans import listings, responses, search
 from quillspark.sources import event_csv, hits, settings
 
@@ -409,3 +409,13 @@ def test_hamming_pairs_of_alike_hashes(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = plans.QUERIES["hamming_pairs"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(plans.ORACLE_SQL["hamming_pairs"]).fetchall())
+
+
+def test_common_terms_are_not_one_task(spark):
+    """Documents are scored where they are: no exchange by term or request, and more documents make more partitions."""
+    for name in ("tfidf_scores", "tfidf_normalized", "index_lookup"):
+        plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id" in plan
+        assert not re.search(r"hashpartitioning\(term#\d+, \d+\)[^\n]*\n[^\n]*Sort|hashpartitioning\(query_id#\d+L?, doc_id|SortMergeJoin|Window", plan), name
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert tfidf.partitions(docs, 10_000) >= 20
