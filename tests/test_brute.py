@@ -419,3 +419,10 @@ def test_common_terms_are_not_one_task(spark):
         assert not re.search(r"hashpartitioning\(term#\d+, \d+\)[^\n]*\n[^\n]*Sort|hashpartitioning\(query_id#\d+L?, doc_id|SortMergeJoin|Window", plan), name
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert tfidf.partitions(docs, 10_000) >= 20
+
+
+def test_pairs_of_a_hot_host_are_dealt_out(spark):
+    """Titles are compared after an exchange by page; before, in the task that has a whole host."""
+    for name, column in (("title_similarity", "pos"), ("page_pairs", "page_id")):
+        plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("array_intersect") < plan.index(f"hashpartitioning({column}") < plan.index("Window"), name
